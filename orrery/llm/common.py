@@ -61,3 +61,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     """uint64 values as doubles in (0, 1]."""
     return ((x >> U64(11)).astype(np.float64) + 1.0) * (1.0 / 9007199254740992.0)
+
+
+#: Odd multiplier of the polynomial hash over bytes, its inverse modulo 2**64, and the powers of both as far as needed.
+BASE = 0x9E3779B97F4A7C15
+BASE_INV = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, U64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if len(have) <= 1 << 22:
+            _powers[base] = have
+    return have[:n]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i], times BASE_INV**i, the hash of bytes i to j."""
+    out = np.zeros(len(data) + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=out[1:])
+    return out
+
+
+def byte_rows(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary Arrow column without nulls, and the n + 1 offsets of its rows."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def chunks(offsets: np.ndarray, limit: int):
+    """Row ranges of about `limit` bytes each; a longer row stands alone."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        yield start, end
+        start = end
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of each row, in order, and the n + 1 offsets of the rows in words."""
+    word = ~_SPACE[data]
+    start = word.copy()
+    inner = offsets[1:-1][offsets[1:-1] < len(data)]
+    before = word[:-1].copy()
+    if len(inner):
+        before[inner[inner > 0] - 1] = False
+    start[1:] &= ~before
+    starts = np.flatnonzero(start)
+    after = np.append(~word[1:], True) if len(word) else word
+    if len(inner):
+        after[inner[inner > 0] - 1] = True
+    ends = np.flatnonzero(word & after) + 1
+    p = prefix_hash(data)
+    h = (p[ends] - p[starts]) * powers(BASE_INV, len(data) + 1)[starts]
+    return mix64(h + (ends - starts).astype(U64)), np.searchsorted(starts, offsets)

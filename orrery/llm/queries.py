@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import minhash, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op3_minhash": minhash.op3_minhash,
         "op6_mixing": mixing.op6_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
