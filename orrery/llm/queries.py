@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, quality_rules
+from . import minhash, mixing, quality_rules, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op3_minhash": minhash.op3_minhash,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
