@@ -8,8 +8,9 @@ consecutive; their text is the anchor's context.
 Contexts that occur twice are repeated as a whole. Of the others, those whose anchor has several different contexts
 go, with one copy of each repeated context, to suffix arrays of about `BLOCK` bytes: induced sorting puts equal
 windows side by side, and permuted common prefixes of `length` or more mark them. An anchor with more than
-`MOST` contexts isn't sorted by one task: its contexts are cut in two, the windows of each half are anchored by the
-text that all of them share, and equal halves are merged again, until the groups are small or windows stand alone.
+`MOST` contexts isn't sorted by one task: its contexts are split by the place of the anchor in the window, the
+windows of each half are anchored by the text that all of that half share, and equal halves are merged again, until
+the groups are small or windows stand alone.
 
 Defined results: a null text is an empty one; texts shorter than `length` lose nothing; rows with equal doc_id and
 text lose the same; repeated rows are repeated strings; columns that aren't named are ignored. An empty table gives
@@ -51,9 +52,9 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, first window, number of windows, hash) of the anchors; positions count within `data`."""
+    """(row, first window, number of windows, offset of the anchor from the first window, hash); positions count within `data`."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.int64),) * 5
     p = prefix_hash(data)
     m = len(data) - gram + 1
     h = mix64((p[gram:] - p[:m]) * powers(BASE_INV, m))
@@ -64,10 +65,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     first = np.repeat(offsets[:-1] - np.append(0, np.cumsum(np.maximum(size - length + 1, 0)))[:-1], np.maximum(size - length + 1, 0))
     starts = np.arange(len(rows)) + first
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.int64),) * 5
     at = at[starts]
     new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (rows[1:] != rows[:-1])))
-    return rows[new], starts[new], np.diff(np.append(new, len(starts))), h[at[new]].view(np.int64)
+    return rows[new], starts[new], np.diff(np.append(new, len(starts))), at[new] - starts[new], h[at[new]].view(np.int64)
 
 
 def _digest(x: bytes) -> int:
@@ -90,32 +91,32 @@ def _occurrences(length: int, gram: int):
         for lo, hi in chunks(offsets, CHUNK):
             if offsets[hi] - offsets[lo] <= SEGMENT:
                 part = offsets[lo : hi + 1]
-                r, s, n, h = anchors(data[part[0] : part[-1]], part - part[0], length, gram)
-                yield r + lo, s + part[0], n, h
+                r, s, n, off, h = anchors(data[part[0] : part[-1]], part - part[0], length, gram)
+                yield r + lo, s + part[0], n, off, h
         for row, a, b in _cut(offsets, length):
-            r, s, n, h = anchors(data[a:b], np.array([0, b - a]), length, gram)
-            yield r + row, s + a, n, h
+            r, s, n, off, h = anchors(data[a:b], np.array([0, b - a]), length, gram)
+            yield r + row, s + a, n, off, h
 
     def run(batches):
         for b in batches:
             data, offsets = byte_rows(b.column("text"))
             ids, keys = b.column("id"), b.column("th")
             whole = data.tobytes()
-            for r, s, n, h in found(data, offsets):
+            for r, s, n, off, h in found(data, offsets):
                 digests = [_digest(whole[x : x + y]) for x, y in zip(s.tolist(), (n + length - 1).tolist(), strict=True)]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), keys.take(take), pa.array(s - offsets[r]), pa.array(n), pa.array(h), pa.array(digests, pa.int64())], ["id", "th", "at", "n", "key", "ctx"],
+                    [ids.take(take), keys.take(take), pa.array(s - offsets[r]), pa.array(n), pa.array(off), pa.array(h), pa.array(digests, pa.int64())], ["id", "th", "at", "n", "off", "key", "ctx"],
                 )
 
     return run
 
 
-_OCC = "id long, th long, at long, n long, key long, ctx long"
+_OCC = "id long, th long, at long, n long, off long, key long, ctx long"
 
 
 def _texts(length: int):
-    """Context texts for the rows (id, th, text, need: array of at, n, key, ctx, many)."""
+    """Context texts for the rows (id, th, text, need: array of at, n, off, key, ctx, many)."""
 
     def run(batches):
         for b in batches:
@@ -130,14 +131,14 @@ def _texts(length: int):
                 got = [text[r][a : a + m + length - 1] for r, a, m in zip(row[part].tolist(), at[part].tolist(), n[part].tolist(), strict=True)]
                 take = pa.array(row[part])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(take), b.column("th").take(take), each.field("at")[part], each.field("n")[part], each.field("key")[part], each.field("ctx")[part], each.field("many")[part], pa.array(got, pa.binary())],
-                    ["id", "th", "at", "n", "key", "ctx", "many", "text"],
+                    [b.column("id").take(take), b.column("th").take(take), each.field("at")[part], each.field("n")[part], each.field("off")[part], each.field("key")[part], each.field("ctx")[part], each.field("many")[part], pa.array(got, pa.binary())],
+                    ["id", "th", "at", "n", "off", "key", "ctx", "many", "text"],
                 )
 
     return run
 
 
-_CONTEXT = "id long, th long, at long, n long, key long, ctx long, many boolean, text binary"
+_CONTEXT = "id long, th long, at long, n long, off long, key long, ctx long, many boolean, text binary"
 
 
 def _repeated(texts: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,24 +199,24 @@ def _sorted_blocks(length: int):
 _SPAN = "id long, th long, from long, to long"
 
 
-def _halves(length: int):
-    """Each context of several windows in two, keyed by what all windows of a half share."""
+def _halves(length: int, width: int):
+    """Each context split by the offset of the anchor, in ranges of `width`, and keyed by the text that all windows
+    with an anchor in that range share."""
 
     def run(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("id", "th", "at", "n", "many", "text")]
+            cols = [b.column(c).to_pylist() for c in ("id", "th", "at", "n", "off", "many", "text")]
             out = []
-            for i, th, at, n, many, text in zip(*cols, strict=True):
-                mid = (n + 1) // 2
-                for lo, hi in ((0, mid), (mid, n)):
-                    if hi > lo:
-                        part = text[lo : hi + length - 1]
-                        shared = part[hi - lo - 1 : length]
-                        out.append((i, th, at + lo, hi - lo, _digest(b"%d|" % (hi - lo) + shared), _digest(part), many, part))
+            for i, th, at, n, off, many, text in zip(*cols, strict=True):
+                for j in range((off - n + 1) // width, off // width + 1):
+                    lo, hi = off - min(off, (j + 1) * width - 1), off - max(off - n + 1, j * width) + 1
+                    part = text[lo : hi + length - 1]
+                    shared = text[off - j * width : off - (j + 1) * width + 1 + length]
+                    out.append((i, th, at + lo, hi - lo, off - lo, _digest(b"%d|%d|" % (width, j) + shared), _digest(part), many, part))
             for k in range(0, len(out), 4000):
                 cs = list(zip(*out[k : k + 4000], strict=True))
-                kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cs, kinds, strict=True)], ["id", "th", "at", "n", "key", "ctx", "many", "text"])
+                kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cs, kinds, strict=True)], ["id", "th", "at", "n", "off", "key", "ctx", "many", "text"])
 
     return run
 
@@ -232,16 +233,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
     occ = written(texts.mapInArrow(_occurrences(length, gram), _OCC), "anchors")
     again = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     occ = written(occ.join(again, "key"), "repeated-anchors")
-    firsts = [F.first(c).alias(c) for c in ("id", "th", "at", "n")]
+    firsts = [F.first(c).alias(c) for c in ("id", "th", "at", "n", "off")]
     # several rows of one text are several occurrences, so contexts count rows and not places
     contexts = written(occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *firsts), "contexts")
     whole = occ.join(contexts.where("c > 1").select("key", "ctx"), ["key", "ctx"])
     out = whole.select("id", "th", F.col("at").alias("from"), (F.col("at") + F.col("n") + length - 1).alias("to"))
     sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    need = contexts.join(sizes, "key").select("id", "th", F.struct("at", "n", "key", "ctx", (F.col("c") > 1).alias("many")).alias("x"))
+    need = contexts.join(sizes, "key").select("id", "th", F.struct("at", "n", "off", "key", "ctx", (F.col("c") > 1).alias("many")).alias("x"))
     need = need.groupBy("id", "th").agg(F.collect_list("x").alias("need"))
     open_ = texts.join(need, ["id", "th"]).mapInArrow(_texts(length), _CONTEXT)
     open_ = written(open_.dropDuplicates(["key", "ctx"]), "context-texts")
+    width = 1 << (length - gram).bit_length()
     while True:
         sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
         hot = sizes.where(F.col("k") > most).select("key")
@@ -251,15 +253,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
         out = out.unionByName(written(made, "spans"))
         if not any_hot:
             return out
-        halves = written(open_.join(hot, "key").mapInArrow(_halves(length), _CONTEXT), "halves")
+        width //= 2
+        halves = written(open_.join(hot, "key").mapInArrow(_halves(length, width), _CONTEXT), "halves")
         count = halves.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("m"))
         more = count.where("c > 1").select("key", "ctx")
         found = halves.join(more, ["key", "ctx"]).where("NOT many")
         out = out.unionByName(found.select("id", "th", F.col("at").alias("from"), (F.col("at") + F.col("n") + length - 1).alias("to")))
         one = halves.join(more.withColumn("__twice", F.lit(True)), ["key", "ctx"], "left")
         one = one.withColumn("many", F.col("many") | F.coalesce("__twice", F.lit(False))).drop("__twice")
-        # a single window has no halves; where it is repeated, its key and context say so together
-        open_ = written(one.dropDuplicates(["key", "ctx"]).where("n > 1"), "open-halves")
+        if width == 1:  # windows stand alone, and key and context say together which are repeated
+            return out
+        open_ = written(one.dropDuplicates(["key", "ctx"]), "open-halves")
 
 
 def _runs(spans_: list[dict] | None) -> list[tuple[int, int]]:
