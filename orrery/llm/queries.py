@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, quality_rules, suffix_dedup
+from . import minhash, mixing, packing, quality_rules, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_minhash": minhash.op3_minhash,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_mixing": mixing.op6_mixing,
