@@ -155,7 +155,7 @@ def plan(histogram: dict[int, int], room: int, gap: float = GAP, turns: int = 20
         x[out] = step
         columns[out] = new
         basis[:, out] = new
-        if turn % 100 == 99:
+        if turn % 500 == 499:
             inverse = np.linalg.inv(basis)
             x = inverse @ need
         else:
