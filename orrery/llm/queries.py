@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, order_minhash, packing, quality_rules, suffix_dedup
+from . import minhash, mixing, order_minhash, packing, quality_rules, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_minhash": minhash.op3_minhash,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_order_minhash": order_minhash.op9_order_minhash,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
