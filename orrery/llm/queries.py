@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, order_minhash, packing, quality_rules, suffix_dedup, toxicity
+from . import line_crf, minhash, mixing, order_minhash, packing, quality_rules, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_line_crf": line_crf.op1_line_crf,
         "op2_packing": packing.op2_packing,
         "op3_minhash": minhash.op3_minhash,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
