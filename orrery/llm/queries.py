@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff_lm, line_crf, minhash, mixing, order_minhash, packing, quality_rules, suffix_dedup, toxicity
+from . import backoff_lm, html_wrapper, line_crf, minhash, mixing, order_minhash, packing, quality_rules, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_minhash": minhash.op3_minhash,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op5_html_wrapper": html_wrapper.op5_html_wrapper,
         "op7_backoff_lm": backoff_lm.op7_backoff_lm,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_order_minhash": order_minhash.op9_order_minhash,
