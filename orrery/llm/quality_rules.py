@@ -51,17 +51,24 @@ def _count_of(chars: str, text: str = "text") -> str:
     return f"(length({text}) - length(translate({text}, '{chars}', '')))"
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, the five base counts, and the features of the rules."""
+#: Columns that statistics() makes.
+STATISTICS = frozenset((*FEATURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+
+
+def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), text_again: bool = False) -> DataFrame:
+    """`keep`, the five base counts, and the features of the rules; with `text_again`, `keep` may hold the text itself."""
+    if text_again:
+        docs = docs.select(F.struct(*keep).alias("__row"), F.col(text_col).alias("__text"))
+        return statistics(docs, "__text", ("__row",)).select("__row.*", *sorted(STATISTICS))
     t = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # rand() keeps later filters and projections above: pushed into, they would split the text or look for windows again and again
-    t = t.withColumn("words", F.when(F.rand(0) < 2, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    # spark_partition_id() keeps later filters and projections above: pushed into, they would split the text or look for windows again and again
+    t = t.withColumn("words", F.when(F.spark_partition_id() >= 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
     t = t.withColumn("lines", F.expr(r"filter(split(text, '\n', -1), l -> length(translate(l, ' \t\n\x0b\f\r', '')) > 0)".replace(r"\x0b", "\x0b").replace(r"\f", "\x0c")))
     bare = "translate(text, ' \t\n\x0b\x0c\r', '')"
     t = t.select(
         *keep, F.expr("size(words)").cast("long").alias("n_words"), F.expr(f"length({bare})").cast("long").alias("word_chars"),
         F.expr(_count_of(SYMBOLS)).cast("long").alias("n_symbols"), F.expr("size(lines) - size(array_distinct(lines))").cast("long").alias("n_dup_lines"),
-        F.when(F.rand(0) < 2, F.expr(repeat_words_sql("words"))).alias("n_repeat_words"), F.expr("size(lines)").alias("__lines"), F.expr("size(array_distinct(words))").alias("__distinct"),
+        F.when(F.spark_partition_id() >= 0, F.expr(repeat_words_sql("words"))).alias("n_repeat_words"), F.expr("size(lines)").alias("__lines"), F.expr("size(array_distinct(words))").alias("__distinct"),
         F.expr("length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇÑÓÍÚÁ', ''))").alias("__not_capital"), F.length("text").alias("__chars"),
         F.expr(_count_of("!?")).alias("__bangs"), F.expr(_count_of("0123456789")).alias("__digits"), F.expr(_count_of(".,;:")).alias("__stops"),
     )

@@ -309,7 +309,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text, found):
-        return text.combine(found, lambda t, s: t if s is None or len(s) == 0 else _kept(t, _runs(s))).map(lambda t: bytes(t).decode("utf-8", "ignore"))
+        return text.combine(found, lambda t, s: t if s is None else _kept(t, _runs(list(s)))).map(lambda t: bytes(t).decode("utf-8", "ignore"))
 
     out = with_spans(docs, **options)
     text = F.when(F.col("__spans").isNull(), F.col("text").cast("string")).otherwise(cut("__bytes", "__spans"))
