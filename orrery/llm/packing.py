@@ -30,7 +30,7 @@ from .common import table, written
 SIZE = 4096
 GRAIN = 8
 END = 2
-GAP = 2e-4
+GAP = 5e-4
 SALTS = 64
 CACHE = 1_000_000
 
@@ -138,10 +138,12 @@ def plan(histogram: dict[int, int], room: int, gap: float = GAP, turns: int = 20
     basis = np.array(columns, float).T
     inverse = np.diag(1.0 / np.diag(basis))
     x = need / np.diag(basis)
+    bound = float(sizes @ need) / room  # no plan can have fewer sequences than this, nor than the prices say
     for turn in range(turns):
         duals = inverse.sum(0)
         worth, new = _best_pattern(duals, sizes, room)
-        if worth <= 1 + 1e-9 or 1 - 1 / worth < gap:
+        bound = max(bound, x.sum() / worth)
+        if worth <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
             break
         some = np.flatnonzero(new)
         direction = (inverse[:, some] * new[some]).sum(1)
