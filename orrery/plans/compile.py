@@ -98,9 +98,11 @@ class Compiler:
         if isinstance(node, A.Name):
             if node.name in env:
                 bound, own = env[node.name]
-                if isinstance(bound, Frame):
+                if isinstance(bound, Frame) and bound.df is not None:
                     return replace(bound, joined=dict(bound.joined))
-                return self.rows(bound, own)
+                if isinstance(bound, A.Node):
+                    return self.rows(bound, own)
+                raise QueryError(f"'{node.name}' can't be read as a set here")
             if node.name in self.schema.aliases:
                 return self.rows(parse(self.schema.aliases[node.name]), {})
             return self.scan(node.name)
@@ -159,7 +161,7 @@ class Compiler:
         if isinstance(root, A.Name):
             if root.name in env:
                 bound, own = env[root.name]
-                return isinstance(bound, Frame) or self._is_set(bound, own)
+                return isinstance(bound, Frame) and bound.df is not None or isinstance(bound, A.Node) and self._is_set(bound, own)
             return root.name in self.schema.types or root.name in self.schema.aliases
         return isinstance(root, A.Select | A.SetOf | A.Group | A.For) or isinstance(root, A.Call) and root.name in stdlib.SET_RETURNING
 
@@ -459,6 +461,17 @@ class Compiler:
                 return False
         return False
 
+    def _single(self, kind: ObjectType, node: A.Node) -> bool:
+        """Whether a set-valued path has one element at most: it is limited to one, or starts at a computed link that is."""
+        if isinstance(node, A.Select):
+            return node.mods.limit == A.Lit(1, "int64")
+        if isinstance(node, A.Shaped):
+            return self._single(kind, node.base)
+        steps = self._steps(node)
+        if not steps or steps[0].name not in kind.computed or not self._single(kind, parse(kind.computed[steps[0].name])):
+            return False
+        return all(s.kind == "forward" for s in steps[1:])
+
     def walk(self, frame: Frame, node: A.Node, env: dict) -> tuple[Frame, Column]:
         """A set-valued path from the frame's object: a frame of its own and its column with that object's key."""
         if isinstance(node, A.Select):
@@ -577,10 +590,9 @@ class Compiler:
         if isinstance(body, A.Select) and self._is_set(body.source, env):
             target = self.rows(body.source, env)
             df = target.df.join(source.df, F.lit(True)) if not node.optional else source.df.join(target.df, F.lit(True), "left")
-            bound = replace(source, df=None)
-            frame = replace(target, df=df, env=inner)
-            return self.modified(frame, body.mods, {**env, node.name: (bound, env)})
-        inner[node.name] = (replace(source, df=None), env)
+            inner[node.name] = (source.value if source.type is None else replace(source, df=None), env)
+            return self.modified(replace(target, df=df, env=inner), body.mods, inner)
+        inner[node.name] = (source.value if source.type is None else replace(source, df=None), env)
         if isinstance(body, A.Select):
             body = body.source
         if isinstance(body, A.SetOf):
@@ -706,6 +718,10 @@ class Compiler:
                 return F.lit(steps[0].name)
             if root.name in env:
                 bound, own = env[root.name]
+                if isinstance(bound, Column):
+                    for s in steps:
+                        bound = bound.getField(s.name)
+                    return bound
                 if isinstance(bound, A.Dot):
                     return self.path(self._rebased(steps, A.Dot()), frame, env)
                 if isinstance(bound, Frame):
@@ -721,6 +737,8 @@ class Compiler:
             if root.name not in env and root.name not in self.schema.types:
                 raise QueryError(f"unknown name '{root.name}'")
             return self.constant(node, env, frame)
+        if isinstance(root, A.Select) and not self._depends(root):
+            return self.constant(node, env, frame)
         if not isinstance(root, A.Dot):
             out = self.scalar(root, frame, env)
             for s in steps:
@@ -754,8 +772,9 @@ class Compiler:
                 c = F.col(f"`{own}`") if own in here.df.columns else here.col(nxt.name)
                 return F.when(here.col("__type__").isin(*names), c)
             if s.kind == "back" or s.name in kind.links and kind.links[s.name].many:
-                found = self.correlated(frame, node, env)
-                return self.attached(frame, found, lambda c: F.collect_list(c))
+                return self.attached(frame, self.correlated(frame, node, env), F.collect_list)
+            if s.name in kind.computed and here is frame and self._set_path(kind, A.Step(A.Dot(), s.name), env):
+                return self.attached(frame, self.correlated(frame, node, env), F.first if self._single(kind, node) else F.collect_list)
             if s.name in kind.links:
                 if k == len(steps) - 1:
                     out = here.col(f"{s.name}__fk")
@@ -955,7 +974,7 @@ class Compiler:
     def nested(self, frame: Frame, node: A.Node, env: dict) -> Column:
         """A dependent set as an array in the order that it asks for, empty where there is none."""
         child, parent = self.walk(frame, node, env)
-        single = isinstance(node, A.Select) and isinstance(node.mods.limit, A.Lit) and node.mods.limit.value == 1
+        single = self._single(frame.type, node)
         if child.elements is not None:
             value = F.struct(*[c.alias(n) for n, c in self.shape(child, child.elements, env)])
         else:
