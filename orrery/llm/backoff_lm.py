@@ -3,7 +3,7 @@
 The automaton has a state for each context that training saw, and a root. In state h an arc for token w bears the
 logarithm of (1 - L) c(h w) / c(h) + L P(w); where h has no arc for w, its failure arc, of weight log L, leads to the
 root, whose arc bears log P(w). P takes a discount from the count of each token and gives it to the unknown token; L
-is the share of bigram occurrences that training saw once only, and the discount is n1 / (n1 + 2 n2). All sums run over the
+is the share of bigram occurrences that training saw once only, and the discount is n1 / (n1 + 2 n2), both kept from 0.05 to 0.95. All sums run over the
 whole training part. Reading w leads to state w, or to the root where w is unknown; so one traversal from left to
 right scores a text.
 
