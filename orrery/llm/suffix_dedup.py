@@ -221,15 +221,19 @@ def _halves(length: int, width: int):
     return run
 
 
+def _bytes():
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """__id and __th, which name a text, and __bytes, the text."""
+    """`docs` with __id and __th, which name a text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(text).alias("__th"), text.cast("binary").alias("__bytes"))
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(text).alias("__th"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(id, th, from, to): bytes to remove, in spans that may overlap."""
-    texts = keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__bytes").alias("text")).where(F.length("text") >= length)
+    texts = keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), _bytes().alias("text")).where(F.length("text") >= length)
     occ = written(texts.mapInArrow(_occurrences(length, gram), _OCC), "anchors")
     again = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     occ = written(occ.join(again, "key"), "repeated-anchors")
@@ -289,7 +293,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def with_spans(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, with the bytes of their text as __bytes and the spans to remove as __spans (null: none)."""
     per = spans(docs, **options).distinct().groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
-    return keyed(docs).join(per, ["__id", "__th"], "left").drop("__id", "__th")
+    return keyed(docs).join(per, ["__id", "__th"], "left").drop("__id", "__th").withColumn("__bytes", _bytes())
 
 
 def _digests(batches):
