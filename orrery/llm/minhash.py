@@ -7,15 +7,10 @@ filled, which ends almost all processes early; documents with an empty register
 bound, so the result doesn't depend on it. Two registers agree with the probability Jaccard similarity.
 
 Bands of four registers give candidates. In each bucket members are compared with one of their own, the hub, instead
-of with each other: first with the one of the least id, then, where several components are left in a bucket, with the
-one of the fewest shingles. Be h that hub and x and y in different components: as h has no more shingles than x and
-as J(h, y) is under the threshold, a link between x and y must share shingles that h lacks, at least s = 0.8 |y| -
-|h & y| of them. So among the shingles that h lacks, in one fixed order, x and y must share one of the first
-|y - h| - s + 1. Those are the keys of the second level, where again hubs are compared first; what then is in different
-components under a key is compared pair by pair. Frequent passages and groups of texts that are alike, but under the
-threshold, so don't lead to all pairs: what their members share is in the hub.
-
-A link is a pair of different texts whose sets of shingles have a Jaccard similarity of 0.8 or more; classes are the
+of with each other; buckets that then still hold several components get another hub, three in all. Then documents
+that are in two or more such buckets, as a pair at the threshold is with probability 0.99994, are compared with all
+others of another component there: few links are left by then, but only this finds those that no hub has. A link is
+a pair of different texts whose sets of shingles have a Jaccard similarity of 0.8 or more; classes are the
 connected components of links and of equal texts.
 
 Defined results: equal texts, empty ones too, share a class; a null text is a class of its own; a text of one to four
@@ -70,6 +65,10 @@ def _turn(k: int) -> np.uint64:
     return U64(k * int(_ROUND) & 0xFFFFFFFFFFFFFFFF)
 
 
+def _turn(k: int) -> np.uint64:
+    return U64(k * int(_ROUND) & 0xFFFFFFFFFFFFFFFF)
+
+
 def registers(row: np.ndarray, h: np.ndarray, w: np.ndarray, n_rows: int, m: int = BANDS * ROWS) -> np.ndarray:
     """The element at each of the m registers of each row; rows without elements keep zeros."""
     out = np.zeros(n_rows * m, U64)
@@ -110,31 +109,28 @@ def _signatures(batches):
     for b in batches:
         text = b.column("text")
         data, offsets = byte_rows(text)
-        keys, size = [], []
+        keys = []
         for lo, hi in chunks(offsets, CHUNK):
             part = offsets[lo : hi + 1]
             row, h, c = shingles(data[part[0] : part[-1]], part - part[0])
             k = band_keys(registers(row, h, 2.0 - 1.0 / c, hi - lo))
-            n = np.bincount(row, minlength=hi - lo)
-            size.append(n)
-            keys += [x.tolist() if y else [] for x, y in zip(k, n > 0, strict=True)]
+            some = np.bincount(row, minlength=hi - lo) > 0
+            keys += [x.tolist() if y else [] for x, y in zip(k, some, strict=True)]
         raw = text.to_pylist()
         digest = [hashlib.md5(x).digest() for x in raw]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *size])), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, size, bands) of the documents that have a text."""
+    """(doc_id, digest, bands) of the documents that have a text."""
     some = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return some.mapInArrow(_signatures, "doc_id long, digest binary, size long, bands array<long>")
-
+    return some.mapInArrow(_signatures, "doc_id long, digest binary, bands array<long>")
 
-def _compared(threshold: float, rest: bool):
-    """Which pairs (a, b) are similar enough; with `rest`, also the keys of b under the hub a."""
 
+def _verified(threshold: float):
     def run(batches):
         for b in batches:
-            good, keys = [], []
+            good = []
             sides = [byte_rows(b.column(c)) for c in ("ta", "tb")]
             joint = np.diff(sides[0][1]) + np.diff(sides[1][1])
             for lo, hi in chunks(np.concatenate([[0], np.cumsum(joint)]), 2 * CHUNK):
@@ -144,41 +140,25 @@ def _compared(threshold: float, rest: bool):
                     sets.append(shingles(data[part[0] : part[-1]], part - part[0])[:2])
                 n = hi - lo
                 marked = [mix64(h + r.astype(U64) * _ROUND) for r, h in sets]
-                shared = np.isin(marked[1], marked[0])
-                row = sets[1][0]
-                common, size = np.bincount(row[shared], minlength=n), np.bincount(row, minlength=n)
-                union = np.bincount(sets[0][0], minlength=n) + size - common
+                both = np.intersect1d(*marked, assume_unique=True, return_indices=True)[1]
+                common = np.bincount(sets[0][0][both], minlength=n)
+                union = np.bincount(sets[0][0], minlength=n) + np.bincount(sets[1][0], minlength=n) - common
                 good.append((common > 0) & (common >= threshold * union - 1e-9))
-                if rest:
-                    own, h = row[~shared], sets[1][1][~shared]
-                    order = np.lexsort((h, own))
-                    own, h = own[order], h[order]
-                    first = np.searchsorted(own, np.arange(n))
-                    most = size - common - np.ceil(threshold * size - common - 1e-9).astype(np.int64) + 1
-                    early = np.arange(len(own)) - first[own] < np.maximum(most, 1)[own]
-                    hub = b.column("a")[lo:hi].to_numpy().view(U64)
-                    k = mix64(mix64(hub)[own[early]] + h[early]).view(np.int64)
-                    keys.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(own[early], minlength=n))).astype(np.int32), pa.array(k)))
-            ok = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
-            out, names = [b.column("a"), b.column("b"), ok], ["a", "b", "ok"]
-            if rest:
-                out.append(pa.concat_arrays(keys) if keys else pa.array([], pa.list_(pa.int64())))
-                names.append("keys")
-            yield pa.RecordBatch.from_arrays(out, names)
+            ok = pa.array(np.concatenate(good)) if good else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, rest: bool = False) -> DataFrame:
-    """The pairs (a, b), and whether their texts are similar enough. `texts`: doc_id and binary text."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough. `texts`: doc_id and binary text."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_compared(threshold, rest), "a long, b long, ok boolean" + ", keys array<long>" * rest)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a long, b long")
 
 
 def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows (key, rep, size) of keys under which there are several components, with their labels."""
+    """The rows (key, rep) of buckets in which there are several components, with their labels."""
     if labels is None:
         return rows.withColumn("label", F.col("rep"))
     rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -189,45 +169,41 @@ def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id for every row of `docs`."""
     sig = written(signatures(docs), "signatures")
-    same = written(sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
-    rows = same.where("rep IS NOT NULL").select("rep", "size", F.explode("bands").alias("key"))
+    same = written(sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
+    rows = same.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     rows = written(rows.join(full.select("key"), "key"), "buckets")
     members = rows.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text IS NOT NULL")
     texts = written(texts.join(members, "doc_id", "left_semi"), "candidates")
-    links, labels = None, None
-
-    def joined(found: DataFrame) -> None:
-        nonlocal links, labels
-        new = found.where("ok").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links) if new.limit(1).count() or labels is None else labels
-
-    def with_hubs(left: DataFrame, hub) -> DataFrame:
-        """(a: hub, b: member of another component)"""
-        pairs = left.join(left.groupBy("key").agg(hub.alias("hub")), "key").where("rep <> hub.rep")
-        return pairs.where("label <> hub.label").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-
-    least, shortest = F.min(F.struct("rep", "label")), F.min(F.struct("size", "rep", "label"))
-    joined(written(compared(with_hubs(_open(rows, None), least), texts, threshold), "links"))
-    left = written(_open(rows, labels), "open-buckets")
-    if left.limit(1).count():
-        # members of the hub's own component count too: they may link to others of the bucket
-        hubs = left.groupBy("key").agg(shortest.alias("hub"))
-        pairs = left.join(hubs, "key").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        found = written(compared(pairs, texts, threshold, rest=True), "hubs")
-        joined(found.where("a <> b"))
-        rows = found.select(F.explode("keys").alias("key"), F.col("b").alias("rep"), F.lit(0).alias("size"))
-        left = written(_open(rows, labels), "open-keys")
+    labels = None
+
+    def joined(pairs: DataFrame) -> None:
+        nonlocal labels
+        new = written(verified(pairs, texts, threshold), "links")
+        if labels is None or new.limit(1).count():
+            labels = components(new, labels)
+
+    # hubs: the least member, then the greatest, then the one of the least hash
+    for pick in (F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))):
+        left = written(_open(rows, labels), "open-buckets")
+        if not left.limit(1).count():
+            break
+        of = left.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")).distinct()
+        pairs = left.join(left.groupBy("key").agg(pick.alias("hub")), "key").select("hub", "rep", "label").distinct().join(of, "hub")
+        joined(pairs.where("label <> hub_label").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
+    else:
+        left = _open(rows, labels)
+        often = left.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
+        left = written(_open(left.join(often, "rep").select("rep", "key"), labels), "open-buckets")
         if left.limit(1).count():
-            joined(written(compared(with_hubs(left, least), texts, threshold), "links"))
-            left = written(_open(left.select("key", "rep", "size"), labels), "open-keys")
             other = left.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.withColumnRenamed("rep", "a").join(other, "key").where("label < label_b").select("a", "b").distinct()
-            joined(written(compared(pairs, texts, threshold), "links"))
+            joined(left.select("key", F.col("rep").alias("a"), "label").join(other, "key").where("label < label_b").select("a", "b").distinct())
     node = same.where("rep IS NOT NULL").select("digest", "rep")
-    node = node.join(labels, node["rep"] == labels["node"], "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
+    if labels is None:
+        node = node.withColumnRenamed("rep", "class_id")
+    else:
+        node = node.join(labels, node["rep"] == labels["node"], "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     found = sig.select("doc_id", "digest").join(node, "digest", "left").select("doc_id", "class_id")
     none = docs.where(F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
     return found.unionByName(none)
