@@ -10,8 +10,8 @@ _REVENUE = """SELECT n.n_name AS nation, round(sum(l_extendedprice * (1 - l_disc
 #: name: (query, SQL)
 QUERIES: dict[str, tuple[str, str]] = {
     "flagship_revenue": (
-        "select (group LineItem using nation := .order.customer.nation.name by nation) { nation := .key.nation, revenue := round(<decimal>sum(.elements.extendedprice * (1 - .elements.discount)), 2), n := count(.elements) } order by .revenue desc",
-        _REVENUE.replace("round(sum(l_extendedprice * (1 - l_discount)), 2)", "round(sum(l_extendedprice * (1 - l_discount))::DECIMAL(38,18), 2)"),
+        "select (group LineItem using nation := .order.customer.nation.name by nation) { nation := .key.nation, revenue := <float64>round(<decimal>sum(.elements.extendedprice * (1 - .elements.discount)), 2), n := count(.elements) } order by .revenue desc",
+        _REVENUE.replace("round(sum(l_extendedprice * (1 - l_discount)), 2)", "round(sum(l_extendedprice * (1 - l_discount))::DECIMAL(38,18), 2)::DOUBLE"),
     ),
     # scans and sources
     "type_scan": ("select Nation", "SELECT n_nationkey AS id FROM nation"),
@@ -63,7 +63,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "for_scalar": ("for x in {1, 2, 3} union (x * 10)", "SELECT unnest([10, 20, 30])::BIGINT AS value"),
     "range_join": ("for r in array_unpack([(lo := 1, hi := 5), (lo := 4, hi := 9)]) union (select Part { id, lo := r.lo } filter .size >= r.lo and .size < r.hi)", "SELECT p_partkey AS id, lo::BIGINT AS lo FROM part JOIN (SELECT * FROM (VALUES (1, 5), (4, 9)) t(lo, hi)) ON p_size >= lo AND p_size < hi"),
     # aggregates and groups
-    "agg_all_functions": ("select { n := count(Order), s := round(<decimal>sum(Order.totalprice), 2), lo := min(Order.totalprice), hi := max(Order.totalprice) }", "SELECT count(*) AS n, round(sum(o_totalprice)::DECIMAL(38,18), 2) AS s, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders"),
+    "agg_all_functions": ("select { n := count(Order), s := <float64>round(<decimal>sum(Order.totalprice), 2), lo := min(Order.totalprice), hi := max(Order.totalprice) }", "SELECT count(*) AS n, round(sum(o_totalprice)::DECIMAL(38,18), 2)::DOUBLE AS s, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders"),
     "agg_of_set_literal": ("select max({3, 9, 4})", "SELECT 9::BIGINT AS value"),
     "mean_of_path": ("select <int64>(mean(Order.totalprice) * 100.0)", "SELECT round_even(avg(o_totalprice) * 100, 0)::BIGINT AS value FROM orders"),
     "stddev_var": ("select (group Order by .orderpriority) { p := .key.orderpriority, sd := <int64>math::stddev(.elements.totalprice), v := <int64>(math::var_pop(.elements.totalprice) / 1000000.0) }", "SELECT o_orderpriority AS p, round_even(stddev_samp(o_totalprice), 0)::BIGINT AS sd, round_even(var_pop(o_totalprice) / 1000000, 0)::BIGINT AS v FROM orders GROUP BY 1"),
