@@ -3,9 +3,11 @@
 A page is a stream of tokens, tags (by name and class) and texts. Repeats within a page are folded into groups; then
 the streams of a host's pages are aligned one after another. Where they differ, a text becomes a slot, a group that
 stands against one copy of its body takes it in, and whatever only one side has becomes optional. The wrapper of a
-host comes from at most `PAGES` of its pages, those of the least hash of page_id; each slot is judged over them by
-the containers it stands in and by whether its text ever changes. All pages are then parsed by their host's
-wrapper: a text has its slot's verdict, and a text that the wrapper has no place for is judged by its own containers.
+host comes from all its pages: equal streams are counted first, then aligned in salted groups, and the groups' wrappers
+likewise until one is left. All pages are parsed by it, and each slot is judged over them by the containers it stands
+in and by whether its text ever changes, apart for pages with and without a main container of their own. Then a text
+has its slot's verdict for its kind of page, and a text that the wrapper has no place for is judged by its own
+containers.
 
 Defined results: null html is an empty page, with text '' and 0 characters; a null or odd url has the empty host;
 broken and missing end tags close with their containers; repeated rows give repeated results; an empty table gives no
@@ -14,20 +16,23 @@ rows; columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
+from operator import eq
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-PAGES = 12
-SALTS = 32
+GROUP = 32
 MOST_BROADCAST_HOSTS = 5_000
 MOST_FOLDED = 24
+MOST_DEPTH = 24
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -114,8 +119,14 @@ def fold(symbols: list, most: int = MOST_FOLDED) -> list:
     """Runs of equal neighbouring blocks as groups, short blocks first."""
     items = [s for s in symbols if s != " "]
     for size in range(1, most + 1):
+        if not any(map(eq, items, items[size:])):
+            continue
         k, out = 0, []
         while k < len(items):
+            if k + size >= len(items) or items[k + size] != items[k]:
+                out.append(items[k])
+                k += 1
+                continue
             block = items[k : k + size]
             end = k + size
             while items[end : end + size] == block:
@@ -137,6 +148,14 @@ def _head(item) -> str:
     return item
 
 
+def _size(items: list) -> int:
+    return sum(1 + _size(x[1]) if isinstance(x, list) else 1 for x in items)
+
+
+def _depth(items: list) -> int:
+    return 1 + max((_depth(x[1]) for x in items if isinstance(x, list)), default=0)
+
+
 def _alike(a, b) -> int:
     """How well two items match: 0 not at all."""
     if isinstance(a, str) or isinstance(b, str):
@@ -163,10 +182,10 @@ def align(a: list, b: list) -> list:
         elif len(gap_b) == 1 and gap_a and gap_b[0][0] == "+" and _head(gap_a[0]) == _head(gap_b[0]):
             out.append(["+", align(gap_a, gap_b[0][1])])
         else:
-            known = next((x for x in gap_a if gap_b and isinstance(x, list) and x[0] == "?" and _head(x) == _head(gap_b[0])), None)
-            if known is not None:  # an optional block that is there already
-                both = align(known[1], gap_b)
-                gap_a[:] = [["?", both] if x is known else x for x in gap_a]
+            known = [(x, align(x[1], gap_b)) for x in gap_a if gap_b and isinstance(x, list) and x[0] == "?" and _head(x) == _head(gap_b[0])]
+            at, both = min(known, key=lambda k: _size(k[1]) - _size(k[0][1]), default=(None, []))
+            if at is not None and _depth(both) <= MOST_DEPTH:  # an optional block that is there already
+                gap_a[:] = [["?", both] if x is at else x for x in gap_a]
                 gap_b.clear()
             for gap in (gap_a, gap_b):
                 if gap:
@@ -260,39 +279,67 @@ class Parser:
                 return end
 
 
+def merged(streams: list[list]) -> list:
+    """The wrapper that covers all of the folded streams or wrappers."""
+    out: list = []
+    for k, x in enumerate([x for x in streams if x]):
+        out = x if k == 0 else align(out, x)
+    return out
+
+
+def _short(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
+
+
+class Seen:
+    """What pages show of the slots of a wrapper. By (slot, whether the page has a main container): how often outside,
+    in the main container and elsewhere, the least and greatest text, and up to three different pages' whole texts."""
+
+    def __init__(self, parser: Parser):
+        self.parser, self.found = parser, {}
+
+    def add(self, page: Page) -> None:
+        main = "m" in page.places
+        whole = 0 if main else _short(page.shown([x == "b" for x in page.places]))
+        for slot, text, place in zip(self.parser.parse(page.symbols), page.texts, page.places, strict=True):
+            if slot >= 0:
+                f = self.found.get((slot, main))
+                if f is None:
+                    f = self.found[(slot, main)] = [0, 0, 0, 1 << 63, -1 << 63, set()]
+                f["xmb".index(place)] += 1
+                if not main:
+                    t = _short(" ".join(text.split()))
+                    f[3], f[4] = min(f[3], t), max(f[4], t)
+                    if len(f[5]) < 3:
+                        f[5].add(whole)
+
+
 def infer(pages: list[str]) -> dict:
-    """The wrapper of pages of one host, and which of its slots bear main text."""
+    """The wrapper of pages of one host, and which of its slots bear main text (twice the slot, plus 1 for pages with
+    a main container), and whether any page has a main container."""
     parsed = [Page(p) for p in pages]
-    wrapper: list = []
-    for k, p in enumerate(parsed):
-        wrapper = fold(p.symbols) if k == 0 else align(wrapper, fold(p.symbols))
-    parser = Parser(wrapper)
-    places: list[dict[str, int]] = [{} for _ in range(parser.count)]
-    texts: list[set[str]] = [set() for _ in range(parser.count)]
-    on: list[set[str]] = [set() for _ in range(parser.count)]  # the main or whole texts of the pages that have the slot
+    streams = Counter(json.dumps(fold(p.symbols)) for p in parsed)
+    wrapper = merged([json.loads(x) for x in sorted(streams, key=lambda x: (-streams[x], x))])
+    seen = Seen(Parser(wrapper))
     for p in parsed:
-        whole = p.shown([x == ("m" if "m" in p.places else "b") for x in p.places])
-        for slot, text, place in zip(parser.parse(p.symbols), p.texts, p.places, strict=True):
-            if slot >= 0:
-                places[slot][place] = places[slot].get(place, 0) + 1
-                texts[slot].add(" ".join(text.split()))
-                on[slot].add(whole)
-    most = [max(p, key=p.get) if p else "x" for p in places]
-    main = "m" in most
-    # without a main container, a text that different pages share is not theirs
-    keep = [m == "m" if main else m == "b" and not (len(t) == 1 and len(o) >= 3) for m, t, o in zip(most, texts, on, strict=True)]
-    return {"wrapper": wrapper, "keep": keep, "main": main}
+        seen.add(p)
+    keep = []
+    for (slot, main), (x, m, b, low, high, on) in seen.found.items():
+        # without a main container, a text that different pages share is not theirs
+        if (m >= x and m >= b) if main else (b >= x and not (low == high and len(on) >= 3)):
+            keep.append(2 * slot + main)
+    return {"wrapper": wrapper, "keep": keep, "main": any("m" in p.places for p in parsed)}
 
 
 class Wrapper:
-    def __init__(self, found: dict):
-        self.parser, self.keep, self.main = Parser(found["wrapper"]), found["keep"], found["main"]
+    def __init__(self, wrapper: list, keep: list[int]):
+        self.parser, self.keep = Parser(wrapper), frozenset(keep)
 
     def text(self, html: str) -> str:
         page = Page(html)
-        main = self.main or "m" in page.places
-        fits = ("m",) if main else ("b",)
-        kept = [self.keep[s] and p != "x" if s >= 0 else p in fits for s, p in zip(self.parser.parse(page.symbols), page.places, strict=True)]
+        main = "m" in page.places
+        fits = "m" if main else "b"
+        kept = [2 * s + main in self.keep and p != "x" if s >= 0 else p == fits for s, p in zip(self.parser.parse(page.symbols), page.places, strict=True)]
         return page.shown(kept)
 
 
@@ -300,38 +347,74 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _infer_group(t: pa.Table) -> pa.Table:
-    rows = sorted(zip(t.column("hash").to_pylist(), t.column("html").to_pylist(), strict=True))
-    return pa.table({"__host": pa.array([t.column("__host")[0].as_py()]), "wrapper": pa.array([json.dumps(infer([r[1] for r in rows]))])})
-
-
-def wrappers(pages: DataFrame, most: int = PAGES) -> tuple[DataFrame, int]:
-    """(__host, wrapper), and the number of hosts."""
-    ids = pages.select("__host", "page_id", F.xxhash64("page_id", "url").alias("hash"))
-    ids = ids.withColumn("salt", F.pmod("hash", F.lit(SALTS)))
-    by = [F.col("hash"), F.col("page_id")]
-    first = F.row_number().over(Window.partitionBy("__host", "salt").orderBy(*by))
-    ids = ids.withColumn("r", first).where(F.col("r") <= most)
-    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("__host").orderBy(*by))).where(F.col("r") <= most)
-    hosts = pages.select("__host").distinct().limit(MOST_BROADCAST_HOSTS + 1).count()
-    chosen = ids.select(F.col("page_id").alias("__id"), "__host", "hash").distinct()
-    chosen = F.broadcast(chosen) if hosts <= MOST_BROADCAST_HOSTS else chosen
-    same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.xxhash64("page_id", "url") == F.col("hash"))
-    found = pages.select("page_id", "url", "html").join(chosen, same).select("__host", "hash", "html")
-    return found.groupBy("__host").applyInArrow(_infer_group, "__host string, wrapper string"), hosts
+def _streams(batches):
+    for b in batches:
+        known: dict[tuple, str] = {}
+        count: dict[tuple[str, str], int] = {}
+        for html, name in zip(b.column("html").to_pylist(), b.column("__host").to_pylist(), strict=True):
+            symbols = tuple(Page(html).symbols)
+            stream = known.get(symbols)
+            if stream is None:
+                stream = known[symbols] = json.dumps(fold(list(symbols)))
+            count[(name, stream)] = count.get((name, stream), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["__host", "wrapper", "n"])
+
+
+def _merge_group(t: pa.Table) -> pa.Table:
+    rows = sorted(zip(t.column("n").to_pylist(), t.column("wrapper").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    made = json.dumps(merged([json.loads(r[1]) for r in rows]))
+    return pa.table({"__host": pa.array([t.column("__host")[0].as_py()]), "wrapper": pa.array([made]), "n": pa.array([sum(r[0] for r in rows)])})
+
+
+def wrappers(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(__host, wrapper, n), from all pages, and the number of hosts."""
+    kind = "__host string, wrapper string, n long"
+    made = pages.select("__host", "html").mapInArrow(_streams, kind).groupBy("__host", "wrapper").agg(F.sum("n").alias("n"))
+    made = written(made, "streams")
+    hosts, groups = made.groupBy("__host").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)), F.max("k")).first()
+    groups = groups or 0
+    while True:
+        groups = -(-groups // GROUP)
+        salt = F.pmod(F.xxhash64("wrapper"), F.lit(max(groups, 1)))
+        made = written(made.withColumn("salt", salt).groupBy("__host", "salt").applyInArrow(_merge_group, kind), "wrappers")
+        if groups <= 1:
+            return made, hosts
+
+
+def _observed(batches):
+    kind = pa.array([], pa.list_(pa.int64())).type
+    for b in batches:
+        seen: dict[str, Seen] = {}
+        for html, name, found in zip(*[b.column(c).to_pylist() for c in ("html", "__host", "wrapper")], strict=True):
+            if name not in seen:
+                seen[name] = Seen(Parser(json.loads(found)))
+            seen[name].add(Page(html))
+        rows = [(name, slot, main, x, m, o, None if main else low, None if main else high, sorted(on)) for name, s in seen.items() for (slot, main), (x, m, o, low, high, on) in s.found.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 9
+        types = [pa.string(), pa.int32(), pa.bool_(), *[pa.int64()] * 5, kind]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["__host", "slot", "main", "x", "m", "b", "low", "high", "pages"])
+
+
+def verdicts(pages: DataFrame) -> DataFrame:
+    """(__host, keep) as in infer(), from all `pages`, which have their wrappers."""
+    seen = pages.select("html", "__host", "wrapper").mapInArrow(_observed, "__host string, slot int, main boolean, x long, m long, b long, low long, high long, pages array<long>")
+    sums = [F.sum(c).alias(c) for c in "xmb"]
+    seen = seen.groupBy("__host", "slot", "main").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("on"))
+    kept = F.when(F.col("main"), F.expr("m >= x AND m >= b")).otherwise(F.expr("b >= x AND NOT (low = high AND on >= 3)"))
+    return seen.where(kept).groupBy("__host").agg(F.collect_list(F.col("slot") * 2 + F.col("main").cast("int")).alias("keep"))
 
 
 def _extract(batches):
     known: dict[str, Wrapper] = {}
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("html", "__host", "wrapper")]
+        hosts, found, keep = (b.column(c) for c in ("__host", "wrapper", "keep"))
         out = []
-        for html, name, found in zip(*cols, strict=True):
+        for k, (html, name) in enumerate(zip(b.column("html").to_pylist(), hosts.to_pylist(), strict=True)):
             w = known.get(name)
             if w is None:
                 if len(known) > 2000:
                     known.clear()
-                w = known[name] = Wrapper(json.loads(found))
+                w = known[name] = Wrapper(json.loads(found[k].as_py()), keep[k].as_py() or [])
             out.append(w.text(html))
         yield pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"],
@@ -343,8 +426,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("__host", host(F.col("url")))
     made, hosts = wrappers(rows)
-    made = F.broadcast(made) if hosts <= MOST_BROADCAST_HOSTS else made
-    return rows.join(made, "__host").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    near = F.broadcast if hosts <= MOST_BROADCAST_HOSTS else lambda df: df
+    made = made.select("__host", "wrapper")
+    judged = written(made.join(verdicts(rows.join(near(made), "__host")), "__host", "left"), "verdicts")
+    return rows.join(near(judged), "__host").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_wrapper(spark, sf_dir: str) -> DataFrame:

@@ -161,3 +161,13 @@ def test_pages(spark):
 def test_wrapper_is_union_free():
     found = html_wrapper.infer([page(f"t{i}", ["a"] * (i + 1)) for i in range(4)])
     assert ["+", ["<p", "T", "</p"]] in found["wrapper"] and found["main"]
+
+
+def test_pages_of_another_template_keep_their_article(spark):
+    """One page without a main container among many copies of a page with one, and menus that only many pages tell."""
+    rows = [(i, f"http://a.example/{i}", page("T", ["one"])) for i in range(200)]
+    rows += [(500, "http://a.example/other", "<html><body><div><h2>Other</h2><p>its own article</p></div></body></html>")]
+    rows += [(600 + i, f"http://b.example/{i}", f"<body><div>Home</div><div><p>text {max(0, i - 60)}</p></div></body>") for i in range(64)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[500] == "Other its own article" and {got[i] for i in range(200)} == {"T one"}
+    assert [got[600 + i] for i in range(64)] == [f"text {max(0, i - 60)}" for i in range(64)]
