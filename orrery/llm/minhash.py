@@ -1,15 +1,16 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is its set of shingles of five words, a shingle that occurs c times weighing 2 - 1/c. Elements arrive at
+A document is its set of shingles of five words, a shingle that occurs c times weighing 1.05 - 0.05/c. Elements arrive at
 the registers as Poisson processes whose rates are their weights; an arrival goes to a random register and the first
 at each register stays. Arrivals are made in order of time up to a bound by which all registers are nearly sure to be
 filled, which ends almost all processes early; documents with an empty register are taken up again with twice the
 bound, so the result doesn't depend on it. Two registers agree with the probability Jaccard similarity.
 
 Bands of four registers give candidates. In each bucket members are compared with one of their own, the hub, instead
-of with each other; buckets that then still hold several components get another hub, three in all. Then documents
-that are in two or more such buckets, as a pair at the threshold is with probability 0.99994, are compared with all
-others of another component there: few links are left by then, but only this finds those that no hub has. A link is
+of with each other; buckets that then still hold several components get another hub, three in all. Then all documents
+of such buckets are compared with all others of another component there: few links are left by then, but only this
+finds those that no hub has. Whatever the counts, a pair at the threshold has a probability Jaccard similarity of
+0.76 at least and shares a bucket with probability 0.99994 at least. A link is
 a pair of different texts whose sets of shingles have a Jaccard similarity of 0.8 or more; classes are the
 connected components of links and of equal texts.
 
@@ -105,6 +106,11 @@ def band_keys(regs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return (key + np.arange(1, bands + 1, dtype=U64) * _ROUND).view(np.int64)
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """From 1 to 1.05, so at set Jaccard 0.8 the probability Jaccard is at least 0.8 / 1.05."""
+    return 1.05 - 0.05 / count
+
+
 def _signatures(batches):
     for b in batches:
         text = b.column("text")
@@ -113,7 +119,7 @@ def _signatures(batches):
         for lo, hi in chunks(offsets, CHUNK):
             part = offsets[lo : hi + 1]
             row, h, c = shingles(data[part[0] : part[-1]], part - part[0])
-            k = band_keys(registers(row, h, 2.0 - 1.0 / c, hi - lo))
+            k = band_keys(registers(row, h, weights(c), hi - lo))
             some = np.bincount(row, minlength=hi - lo) > 0
             keys += [x.tolist() if y else [] for x, y in zip(k, some, strict=True)]
         raw = text.to_pylist()
@@ -194,8 +200,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         joined(pairs.where("label <> hub_label").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct())
     else:
         left = _open(rows, labels)
-        often = left.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
-        left = written(_open(left.join(often, "rep").select("rep", "key"), labels), "open-buckets")
+        left = written(left, "open-buckets")
         if left.limit(1).count():
             other = left.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"))
             joined(left.select("key", F.col("rep").alias("a"), "label").join(other, "key").where("label < label_b").select("a", "b").distinct())
