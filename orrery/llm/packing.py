@@ -1,7 +1,8 @@
 """Packing documents into sequences of tokens by cutting-stock column generation.
 
-A document's tokens and an end token are cut after each full sequence; what is left over is shorter. Lengths are
-counted in classes of `GRAIN` tokens, rounded up. A linear program over patterns, the ways to fill a sequence with
+A document's tokens and an end token are cut after each full sequence; what is left over is shorter. Up to `CLASSES`
+different lengths are planned as they are; if there are more, neighbours share a class that reserves the longest of
+them, those first whose rounding costs the fewest tokens. A linear program over patterns, the ways to fill a sequence with
 lengths, minimises the number of sequences; a knapsack by dynamic programming prices new patterns by the program's
 dual values until none helps, or until the bound that the prices give is within `GAP`. Pattern counts are rounded
 down, and first fit decreasing packs the rest of the histogram, at most about one sequence for each class.
@@ -16,6 +17,7 @@ like others; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import os
 import unicodedata
 import zlib
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SIZE = 4096
-GRAIN = 8
+CLASSES = 320
 END = 2
 GAP = 5e-4
 SALTS = 64
@@ -103,27 +105,52 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
     return text.mapInArrow(_pieces(path, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def length_classes(histogram: dict[int, int], most: int = CLASSES) -> dict[int, int]:
+    """The class of each length, the greatest length in it."""
+    up = sorted(histogram)
+    count = [histogram[s] for s in up]
+    after, before, alive = list(range(1, len(up) + 1)), list(range(-1, len(up) - 1)), [True] * len(up)
+    cost = [(count[k] * (up[k + 1] - up[k]), k, k + 1, count[k]) for k in range(len(up) - 1)]
+    heapq.heapify(cost)
+    left = len(up)
+    while left > most:
+        _, k, n, times = heapq.heappop(cost)
+        if not alive[k] or after[k] != n or count[k] != times:
+            continue
+        alive[k] = False
+        count[n] += count[k]
+        before[n] = before[k]
+        left -= 1
+        if before[k] >= 0:
+            after[before[k]] = n
+            heapq.heappush(cost, (count[before[k]] * (up[n] - up[before[k]]), before[k], n, count[before[k]]))
+        if after[n] < len(up):
+            heapq.heappush(cost, (count[n] * (up[after[n]] - up[n]), n, after[n], count[n]))
+    out, at = {}, 0
+    for k in reversed(range(len(up))):
+        at = up[k] if alive[k] else at
+        out[up[k]] = at
+    return out
+
+
 def _best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The multiset of sizes within `room` of the greatest value, by dynamic programming over the room."""
     good = np.flatnonzero(value > 1e-12)
     order = good[np.argsort(sizes[good])]
     s, v = sizes[order], value[order]
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    ends = np.searchsorted(s, np.arange(room + 1), "right")
-    for r in range(1, room + 1):
-        best[r] = best[r - 1]
-        if ends[r]:
-            got = v[: ends[r]] + best[r - s[: ends[r]]]
-            k = int(got.argmax())
-            if got[k] > best[r] + 1e-15:
-                best[r], pick[r] = got[k], k
+    best, pick, many = np.zeros(room + 1), np.full(room + 1, -1), np.zeros(room + 1, np.int64)
+    for k in range(len(s)):
+        times = 1
+        while times * s[k] <= room:
+            step = times * s[k]
+            got = best[:-step] + times * v[k]
+            at = np.flatnonzero(got > best[step:] + 1e-15)
+            best[at + step], pick[at + step], many[at + step] = got[at], k, times
+            times *= 2
     counts, r = np.zeros(len(sizes), np.int64), room
-    while r > 0:
-        if pick[r] < 0:
-            r -= 1
-        else:
-            counts[order[pick[r]]] += 1
-            r -= s[pick[r]]
+    while r > 0 and pick[r] >= 0:
+        counts[order[pick[r]]] += many[r]
+        r -= many[r] * s[pick[r]]
     return float(best[room]), counts
 
 
@@ -186,13 +213,16 @@ def plan(histogram: dict[int, int], room: int, gap: float = GAP, turns: int = 20
     return out_
 
 
-def packed(docs: DataFrame, path: str, size: int = SIZE, grain: int = GRAIN, end: int = END) -> DataFrame:
+def packed(docs: DataFrame, path: str, size: int = SIZE, most: int = CLASSES, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     spark = docs.sparkSession
-    cut = pieces(docs, path, size, end).withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    cut = pieces(docs, path, size, end)
     cut = written(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
+    lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
+    classes_df = spark.createDataFrame(list(length_classes(lengths, most).items()), "length long, class int")
+    cut = cut.join(F.broadcast(classes_df), "length")
     groups = cut.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = groups.collect()  # at most size / grain * SALTS rows
+    counts = groups.collect()  # at most most * SALTS rows
     histogram: dict[int, int] = {}
     before, at = [], {}
     for r in sorted(counts, key=lambda r: (r["class"], r["salt"])):
@@ -201,7 +231,7 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, grain: int = GRAIN, end
     histogram = dict(at)
     taken: dict[int, int] = {}
     places, sequence = [], 0
-    for times, pattern in plan(histogram, size // grain):
+    for times, pattern in plan(histogram, size):
         for s, n in pattern.items():
             lo = taken.get(s, 0)
             places.append((s, lo, lo + times * n, sequence, n))

@@ -107,3 +107,20 @@ def test_pipeline_stages(spark, docs, none, labels, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_short_documents_fill_their_sequences(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["a"] * int(n))) for i, n in enumerate(rng.integers(0, 20, 3000))]
+    made = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), packing.default_path()).collect()
+    filled = sum(p["length"] for p in made)
+    assert max(p["length"] for p in made) == 20 and len(made) == 3000
+    assert len({p["sequence_id"] for p in made}) <= filled / 4096 + 2
+
+
+def test_length_classes_cost_few_tokens():
+    rng = np.random.default_rng(0)
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(np.minimum(rng.lognormal(5.5, 1.2, 100_000).astype(int) + 1, 4096), return_counts=True), strict=True)}
+    of = packing.length_classes(histogram)
+    assert of.keys() == histogram.keys() and len(set(of.values())) <= packing.CLASSES and all(c >= s for s, c in of.items())
+    assert sum((of[s] - s) * n for s, n in histogram.items()) < 0.01 * sum(s * n for s, n in histogram.items())
