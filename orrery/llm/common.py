@@ -6,6 +6,7 @@ and U+0009 to U+000D.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none."""
+    """The folder that the cluster shares. Where the session names none, a local session gets one of its own, and a
+    cluster an error: its executors would write to disks that the others don't see."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-checkpoint-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -39,7 +43,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what `written` wrote, for tables that no later plan reads."""
+    for t in tables:
+        path = getattr(t, "_written", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_or_empty(col: str):

@@ -181,7 +181,7 @@ def test_links_in_a_single_open_bucket(spark, monkeypatch):
     rows = [(i, " ".join("v%d" % rng.randrange(10**6) for _ in range(60))) for i in range(20)]
     for i in range(2, 16, 2):
         rows[i + 1] = (i + 1, rows[i][1] + " end")
-    one = lambda docs: docs.selectExpr("doc_id", "unhex(md5(text)) AS digest", "array(7L) AS bands")
+    one = lambda docs: docs.selectExpr("doc_id", "unhex(md5(text)) AS node", "array(7L) AS bands")
     monkeypatch.setattr(minhash, "signatures", one)
     got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = expected_classes(rows)
@@ -197,6 +197,6 @@ def test_repeated_shingles_cost_few_shared_bands():
         texts += [" ".join([shared, *["%s%d_%d" % (side, k, j) for j in range(11)] * 40]) for side in "ab"]
     a, b = shingle_set(texts[0]), shingle_set(texts[1])
     assert len(a & b) == 0.8 * len(a | b)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([b""] * 200), pa.array([t.encode() for t in texts])], ["doc_id", "node", "text"])
     bands = [r for out in minhash._signatures([batch]) for r in out.column("bands").to_pylist()]
     assert sum(len(set(x) & set(y)) for x, y in zip(bands[::2], bands[1::2], strict=True)) / 100 > 24 * 0.75**4
