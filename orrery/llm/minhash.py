@@ -241,6 +241,20 @@ def close_pairs(diff: DataFrame, labels: DataFrame, threshold: float) -> DataFra
     return pairs
 
 
+def clusters(rows: DataFrame) -> DataFrame:
+    """(node, cluster): the nodes that are together in the buckets (key, node), directly or over others.
+
+    Each node stands behind the least of its buckets' least nodes, so components are looked for among those alone."""
+    least = rows.groupBy("key").agg(F.min("node").alias("hub"))
+    hubs = rows.select("key", "node").join(least, "key")
+    own = written(hubs.groupBy("node").agg(F.min("hub").alias("own"), F.collect_set("hub").alias("hubs")), "hubs")
+    found = components(own.select(F.col("own").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct())
+    of = found.select(F.col("node").alias("own"), "label")
+    out = written(own.join(of, "own", "left").select("node", F.coalesce("label", "own").alias("cluster")), "clusters")
+    discard(own, found)
+    return out
+
+
 def _linked(sig: DataFrame, docs: DataFrame, threshold: float) -> DataFrame | None:
     """(node, label) for the texts that have links; None if no two share a bucket."""
     same = sig.groupBy("node").agg(F.first("bands").alias("bands"))
@@ -271,14 +285,13 @@ def _linked(sig: DataFrame, docs: DataFrame, threshold: float) -> DataFrame | No
         discard(left)
         left = written(_open(rows, labels), "open-buckets")
         if left.limit(1).count():
-            edges = left.join(left.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b")
-            clusters = components(edges)
-            diff = written(differences(sets, clusters.select("node", F.col("label").alias("cluster")), threshold), "differences")
+            cluster_of = clusters(left)
+            diff = written(differences(sets, cluster_of, threshold), "differences")
             m = diff.groupBy("cluster").agg(F.min_by("node", "g").alias("m"))
             pairs = diff.select("cluster", "node").join(m, "cluster").where("node <> m").select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
             joined(pairs)
             joined(close_pairs(diff, labels, threshold))
-            discard(clusters, diff)
+            discard(cluster_of, diff)
     discard(rows, sets, left)
     return labels
 
