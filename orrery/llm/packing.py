@@ -24,10 +24,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import chunks, discard, table, written
 
 SIZE = 4096
 CLASSES = 320
@@ -35,44 +36,72 @@ END = 2
 GAP = 5e-4
 SALTS = 64
 CACHE = 1_000_000
+CHUNK = 8 << 20
 
 _encoders: dict[str, tuple] = {}
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, those of each lower-case word kept.
+    """Token ids of texts, those of each lower-case word kept.
 
     The vocabulary's normaliser composes (NFC), collapses white space and lowers case by characters, and no token
     goes over white space; so a text is encoded word by word. The few texts where that would differ are encoded
-    whole: those with the strings of special tokens or with U+001C to U+001F, which Python alone takes for space.
+    whole: those with the strings of special tokens or with U+001C to U+001F, which are space to some and not to others.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.part = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.part.encode_special_tokens = True
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
+        self.whole = Tokenizer.from_file(path)
+        self.special = {t.content: n for n, t in self.whole.get_added_tokens_decoder().items()}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words, a hundred at a time with a special token between them, which no word has in it."""
+        if not self.special:
+            codes = self.whole.encode_batch_fast(words, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, codes, strict=True))
+            return
+        between, number = next(iter(self.special.items()))
+        for k in range(0, len(words), 100):
+            part = words[k : k + 100]
+            ids = np.array(self.whole.encode(between.join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(ids == number)
+            raw = ids.tobytes()
+            ends = [*(4 * cut).tolist(), len(raw)]
+            starts = [0, *(4 * cut + 4).tolist()]
+            self.known.update((w, raw[x:y]) for w, x, y in zip(part, starts, ends, strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the n + 1 offsets of the texts in them."""
+        odd_signs = (*self.special, *_SEPARATORS)
+        odd = {k: t for k, t in enumerate(texts) if any(s in t for s in odd_signs)}
+        plain = ["" if k in odd else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for k, t in enumerate(texts)]
+        split = pa.compute.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+        each = split.flatten().dictionary_encode()
+        words = each.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split if ws for w in ws if w not in known})
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            for w, e in zip(part, self.part.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
+            self.known = {"": b""}
+        self.learn([w for w in words if w not in self.known])
+        codes = [self.known[w] for w in words]
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        at = each.indices.to_numpy(zero_copy_only=False)
+        length = size[at]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(start[at] - ends + length, length) + np.arange(int(length.sum()))]
+        offsets = np.append(0, ends)[np.append(0, np.cumsum(np.asarray(split.value_lengths())))]
+        if odd:
+            parts = [ids[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+            for k, t in odd.items():
+                parts[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
+            ids, offsets = np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+        return ids, offsets
+
+
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def _encoder(path: str) -> Encoder:
@@ -82,20 +111,29 @@ def _encoder(path: str) -> Encoder:
 
 
 def _pieces(path: str, size: int, end: int):
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches):
         encoder = _encoder(path)
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
-            for lo in range(0, len(text), 200):
-                rows = []
-                for k, code in enumerate(encoder.encode(text.slice(lo, 200).to_pylist())):
-                    code += last
-                    n = len(code) // 4
-                    rows += [(lo + k, a, min(size, n - a), zlib.crc32(code[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            bytes_ = np.append(0, np.cumsum(pa.compute.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)))
+            for lo, hi in chunks(bytes_, CHUNK):
+                codes, at = encoder.encode(text.slice(lo, hi - lo).to_pylist())
+                n = hi - lo
+                at = at + np.arange(n + 1)  # an end token after each document
+                every = np.full(at[-1], end, "<u4")
+                own = np.ones(at[-1], bool)
+                own[at[1:] - 1] = False
+                every[own] = codes
+                raw = memoryview(every.tobytes())
+                tokens = np.diff(at)
+                times = -(-tokens // size)
+                row = np.repeat(np.arange(n), times)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * size
+                length = np.minimum(size, tokens[row] - start)
+                first = (at[:-1][row] + start) * 4
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                cols = [ids.take(pa.array(row + lo)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[row])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
