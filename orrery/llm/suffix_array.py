@@ -3,6 +3,7 @@
 Suffixes are classified as smaller or larger than their right neighbour; the leftmost smaller ones (LMS) are sorted
 first, and the order of all others is induced from them in one pass up and one pass down. The passes go through the
 alphabet a symbol at a time, and what a symbol's bucket induces is moved as a whole, in rounds for runs of one symbol.
+Moves are stable sorts of 16-bit symbols, which numpy does by counting (radix), so the induction is linear.
 LMS substrings get names in sorted order. If names repeat, the string of names is sorted in turn; as its alphabet is
 about as large as the string, that is done by doubling ranks up to `depth` bytes, beyond which callers don't look.
 """

@@ -5,12 +5,12 @@ or another. Windows are sharded by content: a window belongs to its anchor, the
 substrings, leftmost if tied, so equal windows meet in one shard. The windows of an anchor at one place are
 consecutive; their text is the anchor's context.
 
-Contexts that occur twice are repeated as a whole. Of the others, those whose anchor has several different contexts
-go, with one copy of each repeated context, to suffix arrays of about `BLOCK` bytes: induced sorting puts equal
-windows side by side, and permuted common prefixes of `length` or more mark them. An anchor with more than
-`MOST` contexts isn't sorted by one task: its contexts are split by the place of the anchor in the window, the
-windows of each half are anchored by the text that all of that half share, and equal halves are merged again, until
-the groups are small or windows stand alone.
+Each different context goes once, with a mark if it occurs more than once, to suffix arrays of about `BLOCK` bytes:
+induced sorting puts equal windows side by side, permuted common prefixes of `length` or more show which are repeated,
+and a marked context is repeated as a whole. All bytes that go are found by these arrays; digests only tell which contexts are
+equal. An anchor with more than `MOST` different contexts would be too much for one task: its contexts are split by the place of
+the anchor in the window, and the windows of each half are anchored anew by the text that all of that half share.
+Equal windows stay together in this, and at the latest single windows are one group of one text each.
 
 Defined results: a null text is an empty one; texts shorter than `length` lose nothing; rows with equal doc_id and
 text lose the same; repeated rows are repeated strings; columns that aren't named are ignored. An empty table gives
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_INV, U64, byte_rows, chunks, mix64, powers, prefix_hash, table, written
+from .common import BASE_INV, U64, byte_rows, chunks, discard, mix64, powers, prefix_hash, table, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -116,7 +116,7 @@ _OCC = "id long, th long, at long, n long, off long, key long, ctx long"
 
 
 def _texts(length: int):
-    """Context texts for the rows (id, th, text, need: array of at, n, off, key, ctx, many)."""
+    """Context texts for the rows (text, need: array of at, n, off, key, ctx, many)."""
 
     def run(batches):
         for b in batches:
@@ -129,20 +129,17 @@ def _texts(length: int):
             for k in range(0, len(row), step):
                 part = slice(k, k + step)
                 got = [text[r][a : a + m + length - 1] for r, a, m in zip(row[part].tolist(), at[part].tolist(), n[part].tolist(), strict=True)]
-                take = pa.array(row[part])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(take), b.column("th").take(take), each.field("at")[part], each.field("n")[part], each.field("off")[part], each.field("key")[part], each.field("ctx")[part], each.field("many")[part], pa.array(got, pa.binary())],
-                    ["id", "th", "at", "n", "off", "key", "ctx", "many", "text"],
-                )
+                yield pa.RecordBatch.from_arrays([*[each.field(c)[part] for c in ("key", "ctx", "n", "off", "many")], pa.array(got, pa.binary())], ["key", "ctx", "n", "off", "many", "text"])
 
     return run
 
 
-_CONTEXT = "id long, th long, at long, n long, off long, key long, ctx long, many boolean, text binary"
+_CONTEXT = "key long, ctx long, n long, off long, many boolean, text binary"
 
 
-def _repeated(texts: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first window, last window) of the runs of windows that occur twice among the contexts."""
+def _repeated(texts: list[bytes], n: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window, last window) of the runs of windows that occur twice among the contexts, of which those
+    in `many` stand for several."""
     size = np.array([len(t) + 1 for t in texts])
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # 0xFF is in no UTF-8 text
     start = np.append(0, np.cumsum(size))[:-1]
@@ -155,6 +152,7 @@ def _repeated(texts: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarra
     before, common = common_prefixes(data, order, size[piece] - 1 - inside, follows)
     hit = common >= length
     hit[before[hit]] = True
+    hit |= window & many[piece]
     at = np.flatnonzero(hit)
     if not len(at):
         return at, at, at
@@ -165,58 +163,52 @@ def _repeated(texts: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _sorted_blocks(length: int):
-    """Spans from contexts that come sorted by key; whole keys gather until a block is full."""
+    """(key, ctx, lo, hi): runs of repeated windows, from contexts that come sorted by key; whole keys gather until a
+    block is full."""
 
-    def spans(keep):
-        who, lo, hi = _repeated([k[3] for k in keep], np.array([k[2] for k in keep]), length)
-        rows = [(*keep[w][0], keep[w][1] + a, keep[w][1] + z + length) for w, a, z in zip(who.tolist(), lo.tolist(), hi.tolist(), strict=True) if not keep[w][4]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["id", "th", "from", "to"])
+    def verdicts(keep):
+        who, lo, hi = _repeated([k[3] for k in keep], np.array([k[2] for k in keep]), np.array([k[4] for k in keep], bool), length)
+        if len(who):
+            keys, ctxs = np.array([k[0] for k in keep], np.int64), np.array([k[1] for k in keep], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[who]), pa.array(ctxs[who]), pa.array(lo), pa.array(hi)], ["key", "ctx", "lo", "hi"])
 
     def run(batches):
-        keep, group, size, held, last = [], [], 0, 0, None
+        keep, held, last = [], 0, None
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("id", "th", "at", "n", "key", "many", "text")]
-            for i, th, at, n, key, many, text in zip(*cols, strict=True):
-                if key != last:
-                    if len(group) > 1:
-                        keep += group
-                        held += size
-                    group, size, last = [], 0, key
-                    if held >= BLOCK:
-                        yield from spans(keep)
-                        keep, held = [], 0
-                group.append(((i, th), at, n, text, many))
-                size += len(text)
-        if len(group) > 1:
-            keep += group
+            for row in zip(*[b.column(c).to_pylist() for c in ("key", "ctx", "n", "text", "many")], strict=True):
+                if row[0] != last and held >= BLOCK:
+                    yield from verdicts(keep)
+                    keep, held = [], 0
+                last = row[0]
+                keep.append(row)
+                held += len(row[3])
         if keep:
-            yield from spans(keep)
+            yield from verdicts(keep)
 
     return run
 
 
-_SPAN = "id long, th long, from long, to long"
+_VERDICT = "key long, ctx long, lo long, hi long"
 
 
 def _halves(length: int, width: int):
     """Each context split by the offset of the anchor, in ranges of `width`, and keyed by the text that all windows
-    with an anchor in that range share."""
+    with an anchor in that range share; `shift` is the part's place in the context (of, of_ctx)."""
 
     def run(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("id", "th", "at", "n", "off", "many", "text")]
+            cols = [b.column(c).to_pylist() for c in ("key", "ctx", "n", "off", "many", "text")]
             out = []
-            for i, th, at, n, off, many, text in zip(*cols, strict=True):
+            for key, ctx, n, off, many, text in zip(*cols, strict=True):
                 for j in range((off - n + 1) // width, off // width + 1):
                     lo, hi = off - min(off, (j + 1) * width - 1), off - max(off - n + 1, j * width) + 1
                     part = text[lo : hi + length - 1]
                     shared = text[off - j * width : off - (j + 1) * width + 1 + length]
-                    out.append((i, th, at + lo, hi - lo, off - lo, _digest(b"%d|%d|" % (width, j) + shared), _digest(part), many, part))
+                    out.append((key, ctx, lo, _digest(b"%d|%d|" % (width, j) + shared), _digest(part), hi - lo, off - lo, many, part))
             for k in range(0, len(out), 4000):
                 cs = list(zip(*out[k : k + 4000], strict=True))
                 kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cs, kinds, strict=True)], ["id", "th", "at", "n", "off", "key", "ctx", "many", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cs, kinds, strict=True)], ["of", "of_ctx", "shift", "key", "ctx", "n", "off", "many", "text"])
 
     return run
 
@@ -234,40 +226,51 @@ def keyed(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(id, th, from, to): bytes to remove, in spans that may overlap."""
     texts = keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), _bytes().alias("text")).where(F.length("text") >= length)
-    occ = written(texts.mapInArrow(_occurrences(length, gram), _OCC), "anchors")
-    again = occ.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    occ = written(occ.join(again, "key"), "repeated-anchors")
-    firsts = [F.first(c).alias(c) for c in ("id", "th", "at", "n", "off")]
+    every = written(texts.mapInArrow(_occurrences(length, gram), _OCC), "anchors")
+    # written, so that both sides of the next join are plain shuffles, whose hot keys adaptive execution splits
+    again = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated-keys")
+    occ = written(every.join(again, "key"), "repeated-anchors")
+    discard(every, again)
     # several rows of one text are several occurrences, so contexts count rows and not places
-    contexts = written(occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *firsts), "contexts")
-    whole = occ.join(contexts.where("c > 1").select("key", "ctx"), ["key", "ctx"])
-    out = whole.select("id", "th", F.col("at").alias("from"), (F.col("at") + F.col("n") + length - 1).alias("to"))
-    sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    need = contexts.join(sizes, "key").select("id", "th", F.struct("at", "n", "off", "key", "ctx", (F.col("c") > 1).alias("many")).alias("x"))
+    contexts = occ.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.first(F.struct("id", "th", "at", "n", "off")).alias("one"))
+    need = contexts.select("one.id", "one.th", F.struct("one.at", "one.n", "one.off", "key", "ctx", (F.col("c") > 1).alias("many")).alias("x"))
     need = need.groupBy("id", "th").agg(F.collect_list("x").alias("need"))
-    open_ = texts.join(need, ["id", "th"]).mapInArrow(_texts(length), _CONTEXT)
-    open_ = written(open_.dropDuplicates(["key", "ctx"]), "context-texts")
+    got = texts.join(need, ["id", "th"]).mapInArrow(_texts(length), _CONTEXT)
+    open_ = written(got.dropDuplicates(["key", "ctx"]), "context-texts")
+    places, found = None, []
     width = 1 << (length - gram).bit_length()
     while True:
         sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-        hot = sizes.where(F.col("k") > most).select("key")
+        hot = written(sizes.where(F.col("k") > most).select("key"), "hot-keys")
         any_hot = hot.limit(1).count() > 0
         few = open_.join(hot, "key", "left_anti") if any_hot else open_
-        made = few.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_blocks(length), _SPAN)
-        out = out.unionByName(written(made, "spans"))
+        made = written(few.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_blocks(length), _VERDICT), "verdicts")
+        found.append(made if places is None else made.join(places, ["key", "ctx"]).select(F.col("top").alias("key"), F.col("top_ctx").alias("ctx"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")))
         if not any_hot:
-            return out
+            discard(open_, hot)
+            break
         width //= 2
-        halves = written(open_.join(hot, "key").mapInArrow(_halves(length, width), _CONTEXT), "halves")
-        count = halves.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("m"))
-        more = count.where("c > 1").select("key", "ctx")
-        found = halves.join(more, ["key", "ctx"]).where("NOT many")
-        out = out.unionByName(found.select("id", "th", F.col("at").alias("from"), (F.col("at") + F.col("n") + length - 1).alias("to")))
-        one = halves.join(more.withColumn("__twice", F.lit(True)), ["key", "ctx"], "left")
-        one = one.withColumn("many", F.col("many") | F.coalesce("__twice", F.lit(False))).drop("__twice")
-        if width == 1:  # windows stand alone, and key and context say together which are repeated
-            return out
-        open_ = written(one.dropDuplicates(["key", "ctx"]), "open-halves")
+        halves = written(open_.join(hot, "key").mapInArrow(_halves(length, width), "of long, of_ctx long, shift long, " + _CONTEXT), "halves")
+        under = halves.select("of", "of_ctx", F.col("shift").alias("more"), "key", "ctx")
+        if places is None:
+            places = under.select("key", "ctx", F.col("of").alias("top"), F.col("of_ctx").alias("top_ctx"), F.col("more").alias("shift"))
+        else:
+            up = places.select(F.col("key").alias("of"), F.col("ctx").alias("of_ctx"), "top", "top_ctx", "shift")
+            places = under.join(up, ["of", "of_ctx"]).select("key", "ctx", "top", "top_ctx", (F.col("shift") + F.col("more")).alias("shift"))
+        places = written(places, "places")
+        discard(open_, hot)
+        equal = halves.groupBy("key", "ctx").agg(F.first(F.struct("n", "off", "text")).alias("one"), (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many"))
+        open_ = written(equal.select("key", "ctx", "one.n", "one.off", "many", "one.text"), "open-halves")
+        discard(halves)
+    verdicts = found[0]
+    for f in found[1:]:
+        verdicts = verdicts.unionByName(f)
+    if len(found) > 1:
+        verdicts = written(verdicts, "all-verdicts")
+    out = occ.join(verdicts, ["key", "ctx"]).select("id", "th", (F.col("at") + F.col("lo")).alias("from"), (F.col("at") + F.col("hi") + length).alias("to"))
+    out = written(out, "spans")
+    discard(occ, verdicts, found[0], places)
+    return out
 
 
 def _runs(spans_: list[dict] | None) -> list[tuple[int, int]]:
@@ -301,10 +304,11 @@ def _digests(batches):
         rows = []
         for text, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
             runs = _runs(s)
-            rows.append((len(text), sum(z - a for a, z in runs), len(runs), hashlib.sha256(_kept(text, runs)).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kept = _kept(text, runs)
+            rows.append((len(text), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -324,6 +328,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The columns of the contract, and `text`, what remains, without bytes of characters cut in part."""
     rows = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__bytes").alias("text"), F.col("__spans").alias("spans"))
-    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
