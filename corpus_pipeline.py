@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from orrery.llm import minhash, mixing, packing, quality_rules, suffix_dedup
 from orrery.llm.common import table, written
 
+REPEAT_BYTES = 240
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules don't reject."""
@@ -36,8 +38,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur more than once."""
-    return suffix_dedup.deduplicated(docs)
+    """Documents without the strings of 240 bytes that occur more than once: passages of 50 words have as many."""
+    return suffix_dedup.deduplicated(docs, length=REPEAT_BYTES, gram=REPEAT_BYTES // 3)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
