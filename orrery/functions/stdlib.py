@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lexer import QueryError
+from . import postgis
 from .types import FLOATS, INTEGERS, is_integer, spark_type
 
 
@@ -139,6 +140,7 @@ AGGREGATES = {
     "all": _plain(lambda c: F.coalesce(F.bool_and(c), F.lit(True))), "any": _plain(lambda c: F.coalesce(F.bool_or(c), F.lit(False))),
     "array_agg": _plain(lambda c: F.transform(F.collect_list(F.struct(c.alias("x"))), lambda s: s["x"]), F.collect_set),
     "math::mean": _plain(F.avg), "math::stddev": _plain(F.stddev_samp), "math::stddev_pop": _plain(F.stddev_pop), "math::var": _plain(F.var_samp), "math::var_pop": _plain(F.var_pop),
+    **postgis.AGGREGATES,
 }
 
 
@@ -584,6 +586,9 @@ FUNCTIONS = {
 }
 
 
+FUNCTIONS |= postgis.functions()
+
+
 def call(name: str, args: list[Column], named: dict[str, Column], kind) -> Column:
     fn = FUNCTIONS.get(name)
     if fn is None:
