@@ -7,6 +7,7 @@ expressions; none runs Python on rows.
 from __future__ import annotations
 
 import decimal
+import inspect
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,10 @@ def cast(c: Column, name: str, kind) -> Column:
             return c.cast(to)
         if isinstance(own, T.StringType):
             return F.trim(c).cast(to)
+    if name.removeprefix("std::") == "duration" and isinstance(own, T.StringType):
+        return _duration_of(c)
+    if name == "cal::local_time":
+        return c if isinstance(own, T.StringType) else F.date_format(c, "HH:mm:ss")
     if to == "variant":
         if isinstance(own, T.StringType):
             return F.parse_json(c)
@@ -90,6 +95,25 @@ def cast(c: Column, name: str, kind) -> Column:
     return c.cast(to)
 
 
+def _duration_of(c: Column) -> Column:
+    """ISO 8601 durations of days and less, hours:minutes:seconds, and numbers with units."""
+    text = F.lower(F.trim(c))
+    iso, clock = text.rlike("^-?p"), text.rlike(r"^-?\d+:\d+")
+    time_part = F.substring_index(text, "t", -1)
+
+    def amount(short: str, unit: str, clock_group: int | None) -> Column:
+        of = F.when(text.contains("t"), time_part).otherwise(F.lit("")) if short != "d" else F.substring_index(text, "t", 1)
+        found = F.when(iso, F.regexp_extract(of, rf"(-?[0-9.]+){short}", 1))
+        if clock_group:
+            found = found.when(clock, F.regexp_extract(text, r"(\d+):(\d+)(?::([0-9.]+))?", clock_group))
+        found = found.otherwise(F.regexp_extract(text, rf"(-?[0-9.]+)\s*{unit}", 1))
+        return F.coalesce(F.nullif(found, F.lit("")).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+
+    seconds = amount("d", "d(?:ay|$)", None) * 86400 + amount("h", "h(?:our|$)", 1) * 3600 + amount("m", "min", 2) * 60 + amount("s", "s(?:ec|$)", 3)
+    good = iso | clock | text.rlike(r"[0-9.]+\s*(d|h|min|s)")
+    return F.when(good, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.when(text.startswith("-") & (iso | clock), -seconds).otherwise(seconds).cast("decimal(18,6)"))).otherwise(_error(F.concat(F.lit("invalid duration "), c)).cast("interval day to second"))
+
+
 def indexed(base: Column, at: Column, kind) -> Column:
     own = kind(base)
     if isinstance(own, T.VariantType):
@@ -158,7 +182,26 @@ SET_RETURNING = {
     "range_unpack": lambda r, step=None: F.explode(_range_points(r, step)),
     "json_array_unpack": lambda j: F.explode(F.variant_get(j, "$", "array<variant>")),
     "multirange_unpack": lambda m: F.explode(m),
-    "re_match_all": lambda p, s: F.explode(F.transform(F.regexp_extract_all(s, p, F.lit(0)), lambda x: F.array(x))),
+    "re_match_all": lambda p, s: F.explode(_all_matches(p, s)),
+    "json_object_unpack": lambda j: F.explode(F.map_entries(F.variant_get(j, "$", "map<string,variant>"))),
+}
+
+
+def _all_matches(p: Column, s: Column) -> Column:
+    """The groups of each match, or the whole match of a pattern without groups."""
+    n = _groups(p)
+    lists = [F.call_function("regexp_extract_all", s, _java(p), F.lit(k)) for k in (range(1, n + 1) if n else (0,))]
+    return F.transform(lists[0], lambda x, k: F.array(*[F.get(one, k) for one in lists]))
+
+
+#: Set-returning functions as arrays, for where a row needs the whole set.
+AS_ARRAY = {
+    "array_unpack": lambda a: a,
+    "range_unpack": lambda r, step=None: _range_points(r, step),
+    "json_array_unpack": lambda j: F.variant_get(j, "$", "array<variant>"),
+    "multirange_unpack": lambda m: m,
+    "re_match_all": lambda p, s: _all_matches(p, s),
+    "json_object_unpack": lambda j: F.map_entries(F.variant_get(j, "$", "map<string,variant>")),
 }
 
 
@@ -189,6 +232,21 @@ def _range(a, named, kind) -> Column:
     return F.struct(lower.alias("lower"), upper.alias("upper"), il.alias("inc_lower"), iu.alias("inc_upper"), none.alias("empty"))
 
 
+def _merged_ranges(rs: Column) -> Column:
+    """Sorted, without empty ranges, those that overlap or touch as one."""
+    sorted_ = F.array_sort(F.filter(rs, lambda r: ~r["empty"]))
+
+    def add(done, r):
+        last = F.element_at(done, -1)
+        meets = last["upper"].isNull() | r["lower"].isNull() | (r["lower"] < last["upper"]) | (r["lower"] == last["upper"]) & (last["inc_upper"] | r["inc_lower"])
+        further = r["upper"].isNull() & last["upper"].isNotNull() | (r["upper"] > last["upper"]) | (r["upper"] == last["upper"]) & r["inc_upper"]
+        both = F.when(F.coalesce(further, F.lit(False)), last.withField("upper", r["upper"]).withField("inc_upper", r["inc_upper"])).otherwise(last)
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))
+        return F.when(F.size(done) == 0, F.array(r)).when(F.coalesce(meets, F.lit(False)), joined).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(sorted_, F.slice(sorted_, F.lit(1), F.lit(0)), add)
+
+
 def _has_point(r: Column, x: Column) -> Column:
     low = r["lower"].isNull() | (x > r["lower"]) | (r["inc_lower"] & (x == r["lower"]))
     high = r["upper"].isNull() | (x < r["upper"]) | (r["inc_upper"] & (x == r["upper"]))
@@ -283,8 +341,20 @@ def _re_replace(a, named, kind) -> Column:
     return F.when(F.contains(flags, F.lit("g")), every).when(simple, first).otherwise(every)
 
 
+def _groups(p: Column) -> int:
+    """How many groups a literal pattern has."""
+    import re
+
+    try:
+        return re.compile(_text_of(p)).groups
+    except re.error:
+        return 0
+
+
 def _re_match(p: Column, s: Column) -> Column:
-    return F.when(F.rlike(s, _java(p)), F.array(F.regexp_extract(s, _java(p), 0))).otherwise(F.array().cast("array<string>"))
+    n = _groups(p)
+    got = [F.call_function("regexp_extract", s, _java(p), F.lit(k)) for k in (range(1, n + 1) if n else (0,))]
+    return F.when(F.rlike(s, _java(p)), F.array(*got)).otherwise(F.array().cast("array<string>"))
 
 
 def _length(c: Column, kind) -> Column:
@@ -318,6 +388,8 @@ def _same_type(c: Column, value: Column, kind) -> Column:
 
 def _round(a, kind) -> Column:
     if isinstance(kind(a[0]), FLOATS):
+        if len(a) > 1:
+            raise QueryError("no overload of 'round' takes a float and digits; cast to decimal first")
         return F.rint(a[0])
     return F.round(a[0], a[1] if len(a) > 1 else 0)
 
@@ -408,6 +480,12 @@ def _truncate(a, kind) -> Column:
 
 def _part(a, kind) -> Column:
     part, d = _text_of(a[1]), a[0]
+    if isinstance(kind(d), T.StringType):  # a time of day
+        h, m, s = (F.split(d, ":")[k].cast("double") for k in range(3))
+        times = {"hour": h, "hours": h, "minutes": m, "minute": m, "seconds": s, "second": s, "midnightseconds": h * 3600 + m * 60 + s}
+        if part not in times:
+            raise QueryError(f"invalid unit '{part}'")
+        return times[part]
     if part in PARTS:
         return F.extract(F.lit(PARTS[part]), d).cast("double")
     if part == "dow":
@@ -492,6 +570,10 @@ def _to_str(a, named, kind) -> Column:
         own = kind(a[0])
         if isinstance(own, T.ArrayType):
             return F.array_join(a[0], _text_of(a[1]))
+        if isinstance(own, INTEGERS + FLOATS + (T.DecimalType,)):
+            fmt = _text_of(a[1])
+            shown = F.to_char(a[0].cast("decimal(38,10)"), F.lit(fmt.replace("FM", "")))
+            return F.trim(shown) if "FM" in fmt else F.concat(F.when(a[0] < 0, "").otherwise(" "), shown)
         return F.date_format(a[0], _java_dates(_text_of(a[1])))
     return cast(a[0], "str", kind)
 
@@ -517,6 +599,176 @@ def _array_get(a, named, kind) -> Column:
     return got if default is None else F.coalesce(got, default)
 
 
+def _json_set(a, named, kind) -> Column:
+    """json_set(target, path…, value := j): the target with the value at the path."""
+    create = named.get("create_if_missing", F.lit(True))
+    treat = named.get("empty_treatment", F.lit("ReturnEmpty"))
+    value = named["value"]
+    path = F.array(*[p.cast("string") for p in a[1:]])
+
+    def run(target, path, value, create, treat):
+        import json
+
+        if target is None:
+            return None
+        if value is None:
+            if treat == "ReturnEmpty":
+                return None
+            if treat == "ReturnTarget":
+                return target
+            if treat == "Error":
+                raise ValueError("json_set: the value is empty")
+        root = json.loads(target)
+        at = root
+        for k, step in enumerate(path):
+            last = k == len(path) - 1
+            if isinstance(at, list):
+                n = int(step) if step.lstrip("-").isdigit() else None
+                if n is None:
+                    return target
+                n = n + len(at) if n < 0 else n
+                there = 0 <= n < len(at)
+                step = n
+            elif isinstance(at, dict):
+                there = step in at
+            else:
+                return target
+            if not last:
+                if not there:
+                    return target
+                at = at[step]
+            elif value is None and treat == "DeleteKey":
+                if there:
+                    del at[step]
+            elif there:
+                at[step] = None if value is None else json.loads(value)
+            elif create:
+                if isinstance(at, list):
+                    at.append(None if value is None else json.loads(value))
+                else:
+                    at[step] = None if value is None else json.loads(value)
+        return json.dumps(root)
+
+    return F.parse_json(F.udf(run, "string", useArrow=True)(F.to_json(a[0]), path, F.to_json(value), create, treat))
+
+
+def _duration_truncate(a, kind) -> Column:
+    unit = _text_of(a[1])
+    # Microseconds of the units of durations, months of the longer ones.
+    sizes = {"microseconds": 1, "milliseconds": 1000, "seconds": 10**6, "minutes": 6 * 10**7, "hours": 36 * 10**8}
+    months = {"months": 1, "quarters": 3, "years": 12, "decades": 120, "centuries": 1200}
+    if isinstance(kind(a[0]), T.StructType):
+        m, d, u = a[0]["months"], a[0]["days"], a[0]["micros"]
+        if unit in months:
+            return _span(F.expr("0") + F.call_function("div", m, F.lit(months[unit])) * months[unit], F.lit(0), F.lit(0))
+        if unit in ("days", "weeks"):
+            n = 7 if unit == "weeks" else 1
+            return _span(m, F.call_function("div", d, F.lit(n)) * n, F.lit(0))
+        return _span(m, d, F.call_function("div", u, F.lit(sizes[unit])) * sizes[unit])
+    if unit not in sizes:
+        raise QueryError(f"invalid unit '{unit}'")
+    micros = (_duration_seconds(a[0]).cast("decimal(30,6)") * 10**6).cast("bigint")
+    whole = F.call_function("div", micros, F.lit(sizes[unit]).cast("bigint")) * sizes[unit]
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (whole / 10**6).cast("decimal(18,6)"))
+
+
+def _uuid7() -> Column:
+    stamp = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0")
+    rest = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    parts = [F.substring(stamp, 1, 8), F.substring(stamp, 9, 4), F.concat(F.lit("7"), F.substring(rest, 14, 3)), F.substring(rest, 17, 4), F.substring(rest, 21, 12)]
+    return F.concat_ws("-", *parts)
+
+
+def _to_local_time(a, named, kind) -> Column:
+    """Times of day are text, HH:MM:SS with the fraction that there is."""
+    if len(a) == 3:
+        secs = F.lpad(F.regexp_replace(F.format_number(a[2].cast("double"), 6), r"\.?0+$", ""), 2, "0")
+        return F.concat_ws(":", F.lpad(a[0].cast("string"), 2, "0"), F.lpad(a[1].cast("string"), 2, "0"), F.when(F.length(F.substring_index(secs, ".", 1)) < 2, F.concat(F.lit("0"), secs)).otherwise(secs))
+    own = kind(a[0])
+    if isinstance(own, T.TimestampType) and len(a) > 1:
+        return F.date_format(F.from_utc_timestamp(a[0], a[1]), "HH:mm:ss")
+    if isinstance(own, T.StringType):
+        return F.date_format(F.to_timestamp(a[0], F.lit(_java_dates(_text_of(a[1])) if len(a) > 1 else "HH:mm:ss")), "HH:mm:ss")
+    return F.date_format(a[0], "HH:mm:ss")
+
+
+def _span(months: Column, days: Column, micros: Column) -> Column:
+    """Relative and date durations: months, days and microseconds apart."""
+    return F.struct(months.cast("bigint").alias("months"), days.cast("bigint").alias("days"), micros.cast("bigint").alias("micros"))
+
+
+def _relative(a, named, kind) -> Column:
+    names = ("years", "months", "days", "hours", "minutes", "seconds", "microseconds")
+    given = dict(zip(names, a, strict=False)) | named
+    get = lambda k: given.get(k, F.lit(0))
+    micros = (get("hours") * 3600 + get("minutes") * 60) * F.lit(10**6).cast("bigint") + F.round(get("seconds").cast("double") * 1e6).cast("bigint") + get("microseconds")
+    return _span(get("years") * 12 + get("months"), get("days"), micros)
+
+
+def _normal_hours(d: Column) -> Column:
+    day = F.lit(86_400_000_000).cast("bigint")
+    more = F.call_function("div", d["micros"], day)
+    return _span(d["months"], d["days"] + more, d["micros"] - more * day)
+
+
+def _normal_days(d: Column) -> Column:
+    more = F.call_function("div", d["days"], F.lit(30).cast("bigint"))
+    return _span(d["months"] + more, d["days"] - more * 30, d["micros"])
+
+
+def _hmac(data: Column, key: Column, name: Column) -> Column:
+    how = _text_of(name)
+    if how not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        raise QueryError(f"unknown digest '{how}'")
+
+    def run(data, key):
+        import hashlib
+        import hmac
+
+        return None if data is None or key is None else hmac.new(bytes(key), bytes(data), getattr(hashlib, how)).digest()
+
+    return F.udf(run, "binary", useArrow=True)(data.cast("binary"), key.cast("binary"))
+
+
+def _gen_salt(a, named, kind) -> Column:
+    if not a or _text_of(a[0]) != "md5":
+        raise QueryError("'crypto::gen_salt' makes 'md5' salts only: the others need a library")
+    return F.concat(F.lit("$1$"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))
+
+
+def _crypt(password: Column, salt: Column) -> Column:
+    """The md5-based scheme, salts $1$….
+
+    Fixed values: its alphabet, its thousand rounds and the order in which it writes the digest's bytes."""
+    letters = "./0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    written = ((0, 6, 12), (1, 7, 13), (2, 8, 14), (3, 9, 15), (4, 10, 5))
+
+    def run(password, salt):
+        from hashlib import md5
+
+        if password is None or salt is None:
+            return None
+        if not salt.startswith("$1$"):
+            raise ValueError("crypt takes salts that begin with $1$ only")
+        p, s = password.encode(), salt[3:].split("$")[0][:8].encode()
+        mixed = md5(p + s + p).digest()
+        start = p + b"$1$" + s + (mixed * (len(p) // 16 + 1))[: len(p)]
+        n = len(p)
+        while n:
+            start += b"\0" if n & 1 else p[:1]
+            n >>= 1
+        d = md5(start).digest()
+        for k in range(1000):
+            d = md5((p if k & 1 else d) + (s if k % 3 else b"") + (p if k % 7 else b"") + (d if k & 1 else p)).digest()
+        out = ""
+        for v, count in [*[((d[a] << 16) | (d[b] << 8) | d[c], 4) for a, b, c in written], (d[11], 2)]:
+            for _ in range(count):
+                out, v = out + letters[v & 63], v >> 6
+        return "$1$" + s.decode() + "$" + out
+
+    return F.udf(run, "string", useArrow=True)(password, salt)
+
+
 def _distance(kind_of: str):
     def run(a: Column, b: Column) -> Column:
         zero = F.lit(0.0)
@@ -529,14 +781,20 @@ def _distance(kind_of: str):
         if kind_of == "ip":
             return -dot
         norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), zero, lambda s, x: s + x))
-        return 1 - dot / (norm(a) * norm(b))
+        size = norm(a) * norm(b)
+        return F.when(size == 0, F.lit(float("nan"))).otherwise(1 - dot / F.nullif(size, F.lit(0.0)))
 
     return run
 
 
 def _n(f):
     """A function of its positional arguments alone."""
-    return lambda a, named, kind: f(*a)
+
+    def run(a, named, kind):
+        return f(*a)
+
+    run.takes = f
+    return run
 
 
 def _k(f):
@@ -570,7 +828,7 @@ FUNCTIONS = {
     "overlaps": lambda a, n, k: _pairs(_overlaps)(a[0], a[1], k), "adjacent": lambda a, n, k: _pairs(_adjacent)(a[0], a[1], k), "strictly_below": lambda a, n, k: _every(_below)(a[0], a[1], k), "strictly_above": lambda a, n, k: _every(_below)(a[1], a[0], k),
     "bounded_above": _n(lambda a, b: ~a["empty"] & ~b["empty"] & F.coalesce(b["upper"].isNull() | (a["upper"] < b["upper"]) | (a["upper"] == b["upper"]) & (b["inc_upper"] | ~a["inc_upper"]), F.lit(False))),
     "bounded_below": _n(lambda a, b: ~a["empty"] & ~b["empty"] & F.coalesce(b["lower"].isNull() | (a["lower"] > b["lower"]) | (a["lower"] == b["lower"]) & (b["inc_lower"] | ~a["inc_lower"]), F.lit(False))),
-    "multirange": _n(lambda rs: F.array_sort(F.filter(rs, lambda r: ~r["empty"]))),
+    "multirange": _n(lambda rs: _merged_ranges(rs)),
     "datetime_current": _n(F.current_timestamp), "datetime_of_statement": _n(F.current_timestamp), "datetime_of_transaction": _n(F.current_timestamp),
     "datetime_get": _k(_part), "cal::date_get": _k(_part), "cal::time_get": _k(_part), "datetime_truncate": _k(_truncate), "datetime_shift": _n(lambda d, by: d + by),
     "duration_to_seconds": _n(lambda d: _duration_seconds(d).cast("decimal(38,6)")), "to_duration": _to_duration, "to_datetime": _to_datetime,
@@ -582,7 +840,10 @@ FUNCTIONS = {
     "assert": lambda a, n, k: F.when(a[0], F.lit(True)).otherwise(_error(a[1] if len(a) > 1 else n.get("message", F.lit("assertion failed"))).cast("boolean")),
     "sys::get_current_database": _n(F.current_database), "sys::get_version_as_str": _n(lambda: F.lit("0.1.0")),
     "crypto::digest": _n(lambda d, t: {"md5": F.unhex(F.md5(d)), "sha1": F.unhex(F.sha1(d)), "sha224": F.unhex(F.sha2(d, 224)), "sha256": F.unhex(F.sha2(d, 256)), "sha384": F.unhex(F.sha2(d, 384)), "sha512": F.unhex(F.sha2(d, 512))}[_text_of(t)]),
-    "pgvector::l2_distance": _n(_distance("l2")), "pgvector::l1_distance": _n(_distance("l1")), "pgvector::inner_product": _n(lambda a, b: -_distance("ip")(a, b)), "pgvector::cosine_distance": _n(_distance("cosine")), "pgvector::vector_dims": _n(lambda v: F.size(v).cast("bigint")),
+    "pgvector::l2_distance": _n(_distance("l2")), "pgvector::euclidean_distance": _n(_distance("l2")), "pgvector::neg_inner_product": _n(_distance("ip")),
+    "json_set": _json_set, "duration_truncate": _k(_duration_truncate), "uuid_generate_v7": _n(_uuid7), "sys::get_version": _n(lambda: F.struct(F.lit(0).cast("bigint").alias("0"), F.lit(1).cast("bigint").alias("1"), F.lit("final").alias("2"), F.lit(0).cast("bigint").alias("3"), F.array().cast("array<string>").alias("4"))),
+    "cal::to_local_time": _to_local_time, "cal::to_relative_duration": _relative, "cal::to_date_duration": _relative, "cal::duration_normalize_hours": _n(_normal_hours), "cal::duration_normalize_days": _n(_normal_days),
+    "crypto::hmac": _n(_hmac), "crypto::gen_salt": _gen_salt, "crypto::crypt": _n(_crypt), "pgvector::l1_distance": _n(_distance("l1")), "pgvector::inner_product": _n(lambda a, b: -_distance("ip")(a, b)), "pgvector::cosine_distance": _n(_distance("cosine")), "pgvector::vector_dims": _n(lambda v: F.size(v).cast("bigint")),
 }
 
 
@@ -596,7 +857,12 @@ def call(name: str, args: list[Column], named: dict[str, Column], kind) -> Colum
 
         near = difflib.get_close_matches(name, [*FUNCTIONS, *AGGREGATES, *SET_RETURNING], 1)
         raise QueryError(f"unknown function '{name}'" + (f"; did you mean '{near[0]}'?" if near else ""))
+    if takes := getattr(fn, "takes", None):
+        try:
+            inspect.signature(takes).bind(*args)
+        except TypeError as e:
+            raise QueryError(f"no overload of '{name}' takes {len(args)} arguments") from e
     try:
         return fn(args, named, kind)
-    except (TypeError, IndexError) as e:
+    except IndexError as e:
         raise QueryError(f"no overload of '{name}' takes {len(args)} arguments") from e

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 SCALARS = {
     "str": "string", "bool": "boolean", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double",
     "decimal": "decimal(38,18)", "bigint": "decimal(38,0)", "uuid": "string", "bytes": "binary", "datetime": "timestamp",
-    "geometry": "string", "geography": "string", "duration": "interval day to second", "cal::local_datetime": "timestamp_ntz", "cal::local_date": "date", "json": "variant",
+    "geometry": "string", "geography": "string", "duration": "interval day to second", "cal::local_datetime": "timestamp_ntz", "cal::local_date": "date", "cal::local_time": "string", "json": "variant",
 }
 INTEGERS = (T.ShortType, T.IntegerType, T.LongType, T.ByteType)
 FLOATS = (T.FloatType, T.DoubleType)

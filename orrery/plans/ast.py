@@ -20,6 +20,7 @@ class Lit(Node):
 @dataclass(frozen=True)
 class Param(Node):
     name: str
+    optional: bool = False
 
 
 @dataclass(frozen=True)
@@ -163,6 +164,11 @@ class With(Node):
     body: Node
 
 
+@dataclass(frozen=True)
+class Analyze(Node):
+    body: Node
+
+
 @dataclass(frozen=True)
 class Insert(Node):
     type: str

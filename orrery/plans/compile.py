@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stdlib
 from ..schema import ObjectType, Schema
@@ -37,6 +38,7 @@ class Frame:
     keys_of: tuple[str, ...] = ()
     env: dict | None = None
     link: tuple[str, dict] | None = None  # prefix and properties of the bridge that led here
+    order: tuple[Column, ...] = ()  # of values that come from an ordered set
 
     def col(self, name: str) -> Column:
         return F.col(f"`{self.prefix}{name}`")
@@ -46,11 +48,23 @@ class Frame:
         return self.col("__key")
 
 
+def _renamed(node, name: str):
+    """The node with paths from the name as paths from the object at hand."""
+    if isinstance(node, A.Name) and node.name == name:
+        return A.Dot()
+    if isinstance(node, tuple):
+        return tuple(_renamed(x, name) for x in node)
+    if isinstance(node, A.Node):
+        return type(node)(**{k: _renamed(v, name) for k, v in vars(node).items()})
+    return node
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, schema: Schema, tables, params: dict | None = None, globals_: dict | None = None):
         self.spark, self.schema, self.tables = spark, schema, tables
         self.params, self.globals = params or {}, globals_ or {}
         self.count = 0
+        self.engine = None  # where statements that write may stand as sources
 
     def fresh(self, stem: str = "t") -> str:
         self.count += 1
@@ -111,8 +125,13 @@ class Compiler:
             for name, value in node.bindings:
                 env[name] = (value, dict(env))
             return self.rows(node.body, env)
+        if isinstance(node, A.Insert | A.Update | A.Delete):
+            return self.written(node)
         if isinstance(node, A.Select):
             frame = self.rows(node.source, env)
+            root = node.source.base if isinstance(node.source, A.Shaped) else node.source
+            if isinstance(root, A.Name) and root.name in env and frame.keys is None:
+                env = {**env, root.name: (A.Dot(), env)}  # in its own conditions the name is the row at hand
             return self.modified(frame, node.mods, env, node.alias)
         if isinstance(node, A.Shaped):
             if isinstance(node.base, A.SetOf) and node.base.items == (A.Lit(True, "bool"),):
@@ -127,6 +146,10 @@ class Compiler:
             return self.loop(node, env)
         if isinstance(node, A.SetOf):
             return self.values([self.rows(i, env) for i in node.items])
+        if isinstance(node, A.If) and isinstance(node.other, A.SetOf) and not node.other.items:
+            frame = self.rows(node.then, env)
+            holds = self.spark.range(1).select(self.scalar(node.cond, Frame(self.spark.range(1)), env).alias("__if"))
+            return replace(frame, df=frame.df.crossJoin(F.broadcast(holds)).where("__if").drop("__if"))
         if isinstance(node, A.Binary) and node.op in ("union", "except", "intersect"):
             return self.combined(node.op, self.rows(node.left, env), self.rows(node.right, env), env)
         if isinstance(node, A.Binary) and node.op == "??" and self._is_set(node.left, env):
@@ -163,7 +186,11 @@ class Compiler:
                 bound, own = env[root.name]
                 return isinstance(bound, Frame) and bound.df is not None or isinstance(bound, A.Node) and self._is_set(bound, own)
             return root.name in self.schema.types or root.name in self.schema.aliases
-        return isinstance(root, A.Select | A.SetOf | A.Group | A.For) or isinstance(root, A.Call) and root.name in stdlib.SET_RETURNING
+        if isinstance(root, A.Unary) and root.op in ("distinct", "detached"):
+            return self._is_set(root.arg, {} if root.op == "detached" else env)
+        if isinstance(root, A.Binary) and root.op in ("union", "except", "intersect"):
+            return self._is_set(root.left, env) or self._is_set(root.right, env)
+        return isinstance(root, A.Select | A.SetOf | A.Group | A.For | A.Insert | A.Update | A.Delete) or isinstance(root, A.Call) and root.name in stdlib.SET_RETURNING
 
     def values(self, frames: list[Frame]) -> Frame:
         parts = []
@@ -207,8 +234,14 @@ class Compiler:
         if frame.type is None:
             return replace(frame, value=frame.value.getField(node.name), type=None)
         kind = frame.type
+        order = tuple(self._order(frame, frame.env or {})) or frame.order
         if node.kind == "is":
             return self.narrowed(frame, node.name)
+        if node.kind == "property":
+            prefix, props = frame.link or (None, {})
+            if node.name not in props:
+                raise QueryError(f"there is no link property '@{node.name}' here")
+            return replace(frame, value=F.col(prefix + node.name), type=None, order=order)
         if node.kind == "forward" and node.name in kind.links and not kind.links[node.name].many:
             out = self.follow(frame, node.name)
             return replace(out, df=out.df.where(out.key.isNotNull()))
@@ -216,7 +249,7 @@ class Compiler:
             value = self.scalar(A.Step(A.Dot(), node.name), frame, {})
             name = self.fresh("v")
             df = frame.df.select("*", value.alias(name)).where(F.col(name).isNotNull())
-            return Frame(df, value=F.col(name), joined=frame.joined)
+            return Frame(df, value=F.col(name), joined=frame.joined, order=order)
         child, parent = self.dependent(frame, node)
         df = frame.df.join(child.df, frame.key == parent)
         return replace(child, df=df, joined={**frame.joined, **child.joined})
@@ -295,6 +328,10 @@ class Compiler:
             if isinstance(arg, A.Unary) and arg.op == "distinct":
                 arg, distinct = arg.arg, True
             frame, value = self.ranged(arg, env)
+            order = tuple(self._order(frame, env)) or frame.order
+            if name == "array_agg" and order and not distinct:
+                df = frame.df.withColumn("__at", F.row_number().over(Window.orderBy(*order)))
+                return Frame(df.agg(self._in_order(F.col("__at"), value).alias("value")), value=F.col("value"))
             out = AGGREGATES[name](value, distinct)
             return Frame(frame.df.agg(out.alias("value")), value=F.col("value"))
         fn = self.schema.functions.get(name)
@@ -304,6 +341,10 @@ class Compiler:
         frame, value = self.ranged(node, env, scalar=True)
         return replace(frame, value=value, type=None)
 
+    @staticmethod
+    def _in_order(at: Column, value: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), value.alias("v")))), lambda s: s["v"])
+
     def ranged(self, node: A.Node, env: dict, scalar: bool = False) -> tuple[Frame, Column]:
         """A frame over the first set that an expression names, and the expression's value on it."""
         if not scalar and self._is_set(node, env):
@@ -580,13 +621,34 @@ class Compiler:
                 df = df.where(F.col(n) > lo) if lo else df
                 df = df.where(F.col(n) <= lo + self.number(body.mods.limit)) if body.mods.limit is not None else df
                 return replace(base, df=df.drop(n), mods=A.Mods())
-            raise QueryError("the body of a loop over groups selects from the group's elements")
-        source = self.rows(node.source, env)
+            shape = body.source if isinstance(body, A.Select) else body
+            if isinstance(shape, A.Shaped) and isinstance(shape.base, A.SetOf):
+                here = _renamed(shape.elements, node.name)
+                return replace(self.grouped(node.source, env), elements=here, mods=body.mods if isinstance(body, A.Select) else A.Mods(), env=env)
+            raise QueryError("the body of a loop over groups selects from the group's elements, or is a free object")
+        if isinstance(node.body, A.Insert | A.Update | A.Delete):
+            return self.written(node)
+        return self._looped(self.rows(node.source, env), node, env)
+
+    def _looped(self, source: Frame, node: A.For, env: dict) -> Frame:
+        """The body of a loop for each row of `source`."""
         name = self.fresh("x")
         if source.type is None:
-            source = Frame(source.df.select(source.value.alias(name)), value=F.col(name))
+            source = Frame(source.df.withColumn(name, source.value).drop("value"), value=F.col(name))
         inner = {**env, node.name: (source, env)}
         body = node.body
+        if isinstance(body, A.For):
+            one = source.value if source.type is None else replace(source, df=None)
+            outer = {**env, node.name: (one, env)}
+            if isinstance(body.source, A.Call) and body.source.name in stdlib.SET_RETURNING:
+                args = [self.scalar(a, source, outer) for a in body.source.args]
+                got = self.fresh("v")
+                both = Frame(source.df.select("*", stdlib.SET_RETURNING[body.source.name](*args).alias(got)), value=F.col(got))
+            else:
+                second = self.rows(body.source, env)
+                both = replace(second, df=second.df.crossJoin(source.df))
+            inner = replace(both, df=both.df)
+            return self._looped(inner, body, outer)
         if isinstance(body, A.Select) and self._is_set(body.source, env):
             target = self.rows(body.source, env)
             df = target.df.join(source.df, F.lit(True)) if not node.optional else source.df.join(target.df, F.lit(True), "left")
@@ -616,7 +678,7 @@ class Compiler:
         if isinstance(node, A.Lit):
             return stdlib.literal(node.value, node.type)
         if isinstance(node, A.Param):
-            v = self.param(node.name)
+            v = self.params.get(node.name) if node.optional else self.param(node.name)
             return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
         if isinstance(node, A.Global):
             if node.name in self.globals:
@@ -695,6 +757,8 @@ class Compiler:
                 return bound.value if bound.type is None else bound.key
             if isinstance(bound, A.Dot):
                 return frame.value if frame.type is None else frame.key
+            if isinstance(bound, A.SetOf) and len(bound.items) != 1:
+                raise QueryError(f"'{node.name}' is a set of several values; select from it, or test with 'in'")
             if self._is_set(bound, own) or isinstance(bound, A.Select):
                 return self.constant(bound, own, frame)
             return self.scalar(bound, frame, own)
@@ -815,10 +879,15 @@ class Compiler:
         known = ", ".join(sorted([*kind.properties, *kind.links, *kind.computed]))
         raise QueryError(f"'{kind.name}' has no link or property '{name}' (it has {known})")
 
-    def attached(self, frame: Frame, found: tuple[Frame, Column, Column], how) -> Column:
+    def attached(self, frame: Frame, found: tuple[Frame, Column, Column], how, in_order: bool = False) -> Column:
         """An aggregate of a dependent set, joined to the frame by the object's key."""
         child, parent, value = found
         of, out = self.fresh("k"), self.fresh("a")
+        order = tuple(self._order(child, {})) or child.order
+        if in_order and order:
+            at = self.fresh("n")
+            child = replace(child, df=child.df.withColumn(at, F.row_number().over(Window.partitionBy(parent).orderBy(*order))))
+            how = lambda c: self._in_order(F.col(at), c)
         per = child.df.groupBy(parent.alias(of)).agg(how(value).alias(out))
         frame.df = frame.df.join(per, frame.key == F.col(of), "left")
         return F.col(out)
@@ -835,6 +904,8 @@ class Compiler:
             if self._is_set(node.arg, env):
                 return F.coalesce(self.constant(A.Select(A.Call("count", (node.arg,))), env, frame) > 0, F.lit(False))
             return self.scalar(node.arg, frame, env).isNotNull()
+        if node.op == "detached" and self._is_set(node.arg, {}):
+            return self.constant(node.arg, {}, frame)
         return self.scalar(node.arg, frame, {} if node.op == "detached" else env)
 
     def binary(self, node: A.Binary, frame: Frame, env: dict) -> Column:
@@ -867,7 +938,7 @@ class Compiler:
                 return AGGREGATES[name](self.scalar(arg, frame, env), distinct)
             found = self.correlated(frame, arg, env)
             if found is not None:
-                out = self.attached(frame, found, lambda c: AGGREGATES[name](c, distinct))
+                out = self.attached(frame, found, lambda c: AGGREGATES[name](c, distinct), in_order=name == "array_agg" and not distinct)
                 return stdlib.of_nothing(name, out)
             if self._is_set(arg, env):
                 return self.constant(A.Select(node), env, frame)
@@ -878,10 +949,42 @@ class Compiler:
             inner = {p: (self.scalar(a, frame, env), env) for p, a in zip(fn.params, node.args, strict=True)}
             body = parse(fn.body)
             return self.scalar(body.source if isinstance(body, A.Select) and body.mods == A.Mods() else body, frame, inner)
+        if name in ("sequence_next", "sequence_reset"):
+            return self.sequence(node, frame)
         args = [self.scalar(a, frame, env) for a in node.args]
+        if name in stdlib.SET_RETURNING:
+            if frame.type is not None:
+                return stdlib.AS_ARRAY[name](*args)
+            out = self.fresh("v")
+            frame.df = frame.df.select("*", stdlib.SET_RETURNING[name](*args).alias(out))
+            return F.col(out)
         named = {k: self.scalar(v, frame, env) for k, v in node.named}
         return stdlib.call(name, args, named, self.kind(frame))
 
+    def sequence(self, node: A.Call, frame: Frame) -> Column:
+        """Numbers of a sequence that the engine counts; a block for each statement, in no order."""
+        name = node.args[0].name if isinstance(node.args[0], A.Name) else str(node.args[0].value)
+        if self.engine is None:
+            raise QueryError("sequences belong to an engine")
+        if node.name == "sequence_reset":
+            self.engine.sequences[name] = int(node.args[1].value) if len(node.args) > 1 else 0
+            return F.lit(self.engine.sequences[name]).cast("bigint")
+        start, n = self.engine.sequences.get(name, 0), frame.df.count()
+        self.engine.sequences[name] = start + n
+        return F.lit(start + 1).cast("bigint") if n == 1 else F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint") + start
+
+    def written(self, node: A.Node) -> Frame:
+        """The rows that a statement writes, or takes away, as a set."""
+        if self.engine is None:
+            raise QueryError("a statement that writes can't stand here")
+        from ..operators.mutate import mutate
+
+        target = node.body if isinstance(node, A.For) else node
+        before = self.scan(target.type) if isinstance(target, A.Delete) else None
+        ids = mutate(self.engine, node, self.params).select(F.col("id").alias("__done"))
+        frame = before or self.scan(target.type)
+        return replace(frame, df=frame.df.join(ids, frame.key == F.col("__done"), "left_semi"))
+
     # --- results
 
     def finished(self, frame: Frame, env: dict) -> DataFrame:
@@ -921,6 +1024,9 @@ class Compiler:
                     raise QueryError(f"the group has no key '{steps[1].name}'")
                 plain[e.name] = f"__k_{steps[1].name}"
             else:
+                if isinstance(v, A.Shaped) and isinstance(v.base, A.Step) and v.base.name == "elements":
+                    aggs[e.name] = F.collect_list(F.struct(*[c.alias(n) for n, c in self.shape(frame, v.elements, env)]))
+                    continue
                 aggs[e.name] = self.scalar(v, frame, env)
         df = frame.df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]) if aggs else frame.df.select(*keys).distinct()
         df = df.select(*[F.col(plain[e.name]).alias(e.name) if e.name in plain else F.col(f"`{e.name}`") for e in frame.elements])
@@ -953,12 +1059,15 @@ class Compiler:
     def element(self, frame: Frame, e: A.Element, env: dict) -> Column:
         kind = frame.type
         node = e.value if e.value is not None else A.Step(A.Dot(), e.name)
+        if isinstance(node, A.Call) and node.name in ("assert_exists", "assert_single", "assert_distinct") and kind is not None:
+            return self.asserted_element(frame, e, node, env)
+        single = kind is not None and isinstance(node, A.Step | A.Select | A.Shaped) and self._single(kind, node)
         if e.mods is not None and e.mods != A.Mods():
             node = A.Select(A.Shaped(node, e.shape) if e.shape else node, e.mods)
         elif e.shape:
             node = A.Shaped(node, e.shape)
         if kind is not None and isinstance(node, A.Step | A.Select | A.Shaped) and self._set_path(kind, node, env):
-            return self.nested(frame, node, env)
+            return self.nested(frame, node, env, single)
         if isinstance(node, A.Shaped) and isinstance(node.base, A.Step) and kind is not None:
             target = self.object_at(node.base, frame)
             frame.df = target.df
@@ -971,10 +1080,23 @@ class Compiler:
             node = node.source
         return self.scalar(node, frame, env)
 
-    def nested(self, frame: Frame, node: A.Node, env: dict) -> Column:
-        """A dependent set as an array in the order that it asks for, empty where there is none."""
+    def asserted_element(self, frame: Frame, e: A.Element, node: A.Call, env: dict) -> Column:
+        """A pointer of which each object must have what is asserted."""
+        value = self.element(frame, replace(e, value=node.args[0]), env)
+        named = dict(node.named)
+        text = named["message"].value if "message" in named else f"'{e.name}' doesn't hold what '{node.name}' asserts"
+        many = isinstance(frame.df.select(value.alias("x")).schema["x"].dataType, T.ArrayType)
+        if node.name == "assert_exists":
+            wrong = F.size(value) == 0 if many else value.isNull()
+        else:
+            wrong = (F.size(value) > 1 if node.name == "assert_single" else F.size(value) > F.size(F.array_distinct(value))) if many else F.lit(False)
+        out = F.get(value, F.lit(0)) if many and node.name == "assert_single" else value
+        return F.when(wrong, F.raise_error(F.lit(text))).otherwise(out)
+
+    def nested(self, frame: Frame, node: A.Node, env: dict, single: bool) -> Column:
+        """A dependent set as an array in the order that it asks for, empty where there is none. Only a pointer that is
+        single by what it is, and not by a limit on its elements, is one value."""
         child, parent = self.walk(frame, node, env)
-        single = self._single(frame.type, node)
         if child.elements is not None:
             value = F.struct(*[c.alias(n) for n, c in self.shape(child, child.elements, env)])
         else:
