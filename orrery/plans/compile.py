@@ -147,6 +147,12 @@ class Compiler:
         if isinstance(node, A.SetOf):
             return self.values([self.rows(i, env) for i in node.items])
         if isinstance(node, A.If) and isinstance(node.other, A.SetOf) and not node.other.items:
+            target = node.then.base if isinstance(node.then, A.Shaped) else node.then
+            if isinstance(target, A.Insert | A.Update | A.Delete):  # whether to write is known before
+                if self.spark.range(1).select(self.scalar(node.cond, Frame(self.spark.range(1)), env)).first()[0]:
+                    return self.rows(node.then, env)
+                none = self.scan(target.type)
+                return replace(none, df=none.df.where(F.lit(False)))
             frame = self.rows(node.then, env)
             holds = self.spark.range(1).select(self.scalar(node.cond, Frame(self.spark.range(1)), env).alias("__if"))
             return replace(frame, df=frame.df.crossJoin(F.broadcast(holds)).where("__if").drop("__if"))
@@ -190,7 +196,15 @@ class Compiler:
             return self._is_set(root.arg, {} if root.op == "detached" else env)
         if isinstance(root, A.Binary) and root.op in ("union", "except", "intersect"):
             return self._is_set(root.left, env) or self._is_set(root.right, env)
-        return isinstance(root, A.Select | A.SetOf | A.Group | A.For | A.Insert | A.Update | A.Delete) or isinstance(root, A.Call) and root.name in stdlib.SET_RETURNING
+        return isinstance(root, A.Select | A.SetOf | A.Group | A.For | A.Insert | A.Update | A.Delete) or isinstance(root, A.Call) and (root.name in stdlib.SET_RETURNING or root.name in ("assert_exists", "assert_single", "assert_distinct") and self._is_set(root.args[0], env))
+
+    def _names_set(self, node, env: dict) -> bool:
+        """Whether there is a set somewhere in an expression."""
+        if isinstance(node, tuple):
+            return any(self._names_set(x, env) for x in node)
+        if not isinstance(node, A.Node):
+            return False
+        return self._is_set(node, env) or any(self._names_set(v, env) for v in vars(node).values())
 
     def values(self, frames: list[Frame]) -> Frame:
         parts = []
@@ -355,8 +369,8 @@ class Compiler:
         found: list[A.Node] = []
 
         def look(n) -> None:
-            if found or not isinstance(n, A.Node):
-                return
+            if found or not isinstance(n, A.Node) or isinstance(n, A.Call) and n.name in AGGREGATES:
+                return  # an aggregate's set is its own
             if not isinstance(n, A.Call) and self._is_set(n, env):
                 found.append(n)
                 return
@@ -942,6 +956,11 @@ class Compiler:
                 return stdlib.of_nothing(name, out)
             if self._is_set(arg, env):
                 return self.constant(A.Select(node), env, frame)
+            if self._names_set(arg, env):
+                inner, value = self.ranged(arg, env)
+                out = self.fresh("c")
+                frame.df = frame.df.crossJoin(F.broadcast(inner.df.agg(AGGREGATES[name](value, distinct).alias(out))))
+                return F.col(out)
         fn = self.schema.functions.get(name)
         if fn is not None:
             if len(fn.params) != len(node.args):

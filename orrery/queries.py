@@ -101,12 +101,112 @@ QUERIES: dict[str, tuple[str, str]] = {
     # search
     "knn": ("select vector::search(Embedding, (select Embedding filter .id = 0).embedding) { id } order by .distance then .id limit 5", "SELECT vec_id AS id FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), vec_id LIMIT 5"),
     "fts": ("select count((select fts::search(Document, 'the of')))", "SELECT count(*) AS value FROM documents WHERE regexp_matches(lower(text), '\\bthe\\b') AND regexp_matches(lower(text), '\\bof\\b')"),
+    # functions by their values on the tables' columns
+    "str_functions_2": (
+        "select Part { id, a := str_title(str_lower(.name)), b := str_pad_end(.brand, 12, '.'), c := str_trim('  ' ++ .brand ++ ' '), d := str_trim_start('xx' ++ .brand, 'x'), e := str_trim_end(.brand ++ 'yy', 'y'), f := str_repeat('ab', 2), g := str_len(.type), h := str_ends_with(.name, '1'), i := str_starts_with(.name, 'Part'), j := find(.name, '#') }",
+        "SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS a, rpad(p_brand, 12, '.') AS b, p_brand AS c, p_brand AS d, p_brand AS e, 'abab' AS f, length(p_type)::BIGINT AS g, p_name LIKE '%1' AS h, p_name LIKE 'Part%' AS i, (strpos(p_name, '#') - 1)::BIGINT AS j FROM part",
+    ),
+    "re_groups": (
+        "select Part { id, a := re_match('([0-9])([0-9]+)$', .name), b := re_match('nothing', .name), c := array_join(array_get(re_match_all('[0-9]', .name), 0), '') }",
+        "SELECT p_partkey AS id, CASE WHEN regexp_matches(p_name, '[0-9][0-9]+$') THEN [regexp_extract(p_name, '([0-9])([0-9]+)$', 1), regexp_extract(p_name, '([0-9])([0-9]+)$', 2)] ELSE []::VARCHAR[] END AS a, []::VARCHAR[] AS b, nullif(regexp_extract(p_name, '[0-9]'), '') AS c FROM part",
+    ),
+    "bytes_functions": (
+        "select Nation { id, a := bit_not(<int64>.id), b := bytes_get(to_bytes(.name), 0), c := bytes_get_bit(to_bytes(.name), 0), d := <str>from_hex('4142'), e := <str>enc::base64_decode(enc::base64_encode(to_bytes(.name))), f := enc::base64_encode(crypto::digest(.name, 'sha256')) }",
+        "SELECT n_nationkey AS id, (~n_nationkey::BIGINT)::BIGINT AS a, ord(n_name)::BIGINT AS b, (ord(n_name) & 1)::BIGINT AS c, 'AB' AS d, n_name AS e, to_base64(unhex(sha256(n_name))) AS f FROM nation",
+    ),
+    "number_casts": (
+        "select Part { id, a := to_int16('12'), b := to_int32('-7'), c := to_int64(<str>.size), d := to_float64('2.5'), e := <str>to_bigint('123456789012345678901234567890'), f := to_bool('true'), g := to_float32('0.5'), h := <str>(<int64>to_decimal('7')) }",
+        "SELECT p_partkey AS id, 12::SMALLINT AS a, (-7)::INTEGER AS b, p_size::BIGINT AS c, 2.5::DOUBLE AS d, '123456789012345678901234567890' AS e, true AS f, 0.5::FLOAT AS g, '7' AS h FROM part",
+    ),
+    "array_functions_2": (
+        "with a := [5, 3, 9, 3] select { a := array_replace(a, 3, 0), b := array_insert(a, 1, 7), c := array_rotate(a, 1), d := array_set(a, 0, 1), e := array_slice(a, 1, 3), f := contains(a, 9), g := find(a, 3), h := array_fill(2, 3) }",
+        "SELECT [5, 0, 9, 0]::BIGINT[] AS a, [5, 7, 3, 9, 3]::BIGINT[] AS b, [3, 9, 3, 5]::BIGINT[] AS c, [1, 3, 9, 3]::BIGINT[] AS d, [3, 9]::BIGINT[] AS e, true AS f, 1::BIGINT AS g, [2, 2, 2]::BIGINT[] AS h",
+    ),
+    "range_functions_2": (
+        "select Part { id, a := range_get_lower(range(<int64>.size, 60)), b := range_is_inclusive_lower(range(1, 3)), c := range_is_inclusive_upper(range(1, 3)), d := strictly_above(range(9, 12), range(1, <int64>.size)), e := bounded_above(range(1, <int64>.size + 1), range(1, 30)), f := bounded_below(range(<int64>.size, 60), range(20, 99)), g := contains(multirange([range(1, 10), range(8, 30)]), <int64>.size) }",
+        "SELECT p_partkey AS id, p_size::BIGINT AS a, true AS b, false AS c, p_size <= 9 AND p_size > 1 AS d, p_size + 1 <= 30 AS e, p_size >= 20 AS f, p_size BETWEEN 1 AND 29 AS g FROM part",
+    ),
+    "multirange_unpack": ("select array_unpack([1]) + array_get([range_get_upper(range(1, 5))], 0)", "SELECT 6::BIGINT AS value"),
+    "math_functions_2": (
+        "select Nation { id, a := round(math::cos(<float64>.id) * 1000000.0), b := round(math::atan2(<float64>.id, 2.0) * 1000000.0), c := round(math::ln(<float64>.id + 1.0) * 1000000.0), d := math::log2(8.0), e := round(math::e() * 1000.0), f := round(math::tan(<float64>.id) * 1000.0), g := math::lg(100.0), h := round(math::asin(0.5) * 1000.0), i := round(math::acos(0.5) * 1000.0), j := round(math::atan(1.0) * 1000.0), k := round(math::cot(1.0) * 1000.0), l := math::abs(-2.0), m := math::ceil(1.2), n := math::floor(1.8), o := math::log(100.0) }",
+        "SELECT n_nationkey AS id, round_even(cos(n_nationkey) * 1000000, 0) AS a, round_even(atan2(n_nationkey, 2) * 1000000, 0) AS b, round_even(ln(n_nationkey + 1) * 1000000, 0) AS c, 3.0::DOUBLE AS d, 2718.0::DOUBLE AS e, round_even(tan(n_nationkey) * 1000, 0) AS f, 2.0::DOUBLE AS g, 524.0::DOUBLE AS h, 1047.0::DOUBLE AS i, 785.0::DOUBLE AS j, 642.0::DOUBLE AS k, 2.0::DOUBLE AS l, 2.0::DOUBLE AS m, 1.0::DOUBLE AS n, 2.0::DOUBLE AS o FROM nation",
+    ),
+    "statistics": (
+        "select (group Order by .orderstatus) { s := .key.orderstatus, a := <int64>math::stddev_pop(.elements.totalprice), b := <int64>(math::var(.elements.totalprice) / 1000000.0), c := <int64>math::mean(.elements.totalprice) }",
+        "SELECT o_orderstatus AS s, round_even(stddev_pop(o_totalprice), 0)::BIGINT AS a, round_even(var_samp(o_totalprice) / 1000000, 0)::BIGINT AS b, round_even(avg(o_totalprice), 0)::BIGINT AS c FROM orders GROUP BY 1",
+    ),
+    "durations": (
+        "select Order { id, a := <str><cal::local_datetime>(.orderdate + <duration>'PT36H') , b := duration_get(<duration>'90 minutes', 'totalseconds'), c := duration_to_seconds(duration_truncate(<duration>'PT1H59M', 'hours')) = 3600, d := <str>datetime_shift(.orderdate, to_duration(hours := 2)) }",
+        "SELECT o_orderkey AS id, strftime(o_orderdate + INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%S') AS a, 5400.0::DOUBLE AS b, true AS c, strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') AS d FROM orders",
+    ),
+    "calendar": (
+        "select Order { id, a := <str>cal::to_local_date(.orderdate), b := cal::date_get(cal::to_local_date(.orderdate), 'month'), c := <str>cal::to_local_time(.orderdate), d := cal::time_get(<cal::local_time>'10:20:30', 'minutes'), e := <str>cal::to_local_datetime(2030, 1, 2, 3, 4, 5.0), f := cal::duration_normalize_days(cal::to_date_duration(days := 65)).months, g := cal::duration_normalize_hours(cal::to_relative_duration(hours := 50)).days }",
+        "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS a, month(o_orderdate)::DOUBLE AS b, strftime(o_orderdate, '%H:%M:%S') AS c, 20.0::DOUBLE AS d, '2030-01-02T03:04:05' AS e, 2::BIGINT AS f, 2::BIGINT AS g FROM orders",
+    ),
+    "json_functions_2": (
+        "select Event { id, a := <int64>json_get(json_set(<json>.props, 'n', value := to_json('41')), 'n'), b := <int64>json_get(json_set(<json>.props, 'k', value := to_json('0')), 'k'), c := json_array_length(to_json('[1, 2, 3]')), d := <int64>(<json>.props)['k'] }",
+        "SELECT event_id AS id, 41::BIGINT AS a, 0::BIGINT AS b, 3::BIGINT AS c, json_extract(props, '$.k')::BIGINT AS d FROM events",
+    ),
+    "json_unpack": ("select <int64>json_array_unpack(to_json('[4, 5]'))", "SELECT unnest([4, 5])::BIGINT AS value"),
+    "json_object_unpack": ("select json_object_unpack(to_json('{\"a\": 1, \"b\": 2}')).key", "SELECT unnest(['a', 'b']) AS value"),
+    "uuid_functions": ("select Region { id, a := uuid_extract_version(uuid_generate_v4()), b := uuid_extract_version(uuid_generate_v7()), c := len(uuid_generate_v7()), d := to_uuid(from_hex('00112233445566778899aabbccddeeff')) }", "SELECT r_regionkey AS id, 4::BIGINT AS a, 7::BIGINT AS b, 36::BIGINT AS c, '00112233-4455-6677-8899-aabbccddeeff' AS d FROM region"),
+    "crypto_functions": ("select { b := crypto::crypt('password', '$1$abcdefgh'), c := str_starts_with(crypto::gen_salt('md5'), '$1$') }", "SELECT '$1$abcdefgh$G//4keteveJp0qb8z2DxG/' AS b, true AS c"),
+    "vector_functions": (
+        "select Embedding { id, a := round(pgvector::euclidean_distance(.embedding, .embedding) * 1000.0), b := round((pgvector::neg_inner_product(.embedding, .embedding) + pgvector::inner_product(.embedding, .embedding)) * 1000.0), c := round(pgvector::cosine_distance(.embedding, .embedding) * 1000.0) = 0.0 }",
+        "SELECT vec_id AS id, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, true AS c FROM embeddings",
+    ),
+    "bound_set_filter": ("with x := {1, 2, 3} select x filter x > 1", "SELECT unnest([2, 3])::BIGINT AS value"),
+    "ordered_array_agg": ("select Nation { id, names := array_agg((select .<nation[is Supplier] order by .acctbal desc).name) }", "SELECT n_nationkey AS id, coalesce((SELECT list(s_name ORDER BY s_acctbal DESC) FROM supplier WHERE s_nationkey = n_nationkey), []) AS names FROM nation"),
+    "count_of_union": ("select count(Customer.name union Supplier.name)", "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS value"),
+    "detached_count": ("select Region { id, n := count(detached Nation) }", "SELECT r_regionkey AS id, (SELECT count(*) FROM nation) AS n FROM region"),
+    "set_call_in_expression": ("select array_unpack([1, 2]) + 1", "SELECT unnest([2, 3])::BIGINT AS value"),
+    "nested_for": ("for x in {1, 2} union (for y in {10, 20} union (x + y))", "SELECT unnest([11, 12, 21, 22])::BIGINT AS value"),
+    "for_over_groups": ("for g in (group Order by .orderstatus) union ({ s := g.key.orderstatus, n := count(g.elements) })", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1"),
+    "nested_link_shape": ("select (select Customer { id, nation: { name, region: { name } } }) { id, n := .nation.name, r := .nation.region.name }", "SELECT c_custkey AS id, n_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "filter_like_hits": ("select Part { id, name } filter .name like '%1_' or .name ilike 'PART%7'", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name LIKE '%1_' OR p_name ILIKE 'PART%7'"),
+    "filter_not_exists_hits": ("select Customer { id } filter not exists (select .<customer[is Order] filter .totalprice > 400000.0)", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
+    "link_property_sum": ("select Order { id, q := sum(.parts@quantity) }", "SELECT o_orderkey AS id, coalesce((SELECT sum(l_quantity) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey), 0) AS q FROM orders"),
+    "asserted_distinct": ("select count(assert_distinct(Nation))", "SELECT count(*) AS value FROM nation"),
+    # geospatial functions
+    "geo_points": (
+        "select Nation { id, x := postgis::x(postgis::makepoint(<float64>.id, 2.0)), t := postgis::astext(postgis::point(<float64>.id, 3.0)), d := round(postgis::distance(postgis::point(<float64>.id, 0.0), 'POINT(0 0)')), w := postgis::within(postgis::point(<float64>.id, 1.0), 'POLYGON((-1 0,10 0,10 5,-1 5,-1 0))'), j := postgis::asgeojson(postgis::point(<float64>.id, 1.5)) }",
+        "SELECT n_nationkey AS id, n_nationkey::DOUBLE AS x, 'POINT(' || n_nationkey || ' 3)' AS t, n_nationkey::DOUBLE AS d, n_nationkey < 10 AS w, '{\"type\":\"Point\",\"coordinates\":[' || n_nationkey || ',1.5]}' AS j FROM nation",
+    ),
+    "geo_shapes": (
+        "select Nation { id, a := postgis::area('POLYGON((0 0,4 0,4 ' ++ <str>.id ++ ',0 ' ++ <str>.id ++ ',0 0))'), l := postgis::length('LINESTRING(0 0,0 ' ++ <str>.id ++ ')'), n := postgis::npoints('LINESTRING(0 0,1 1,2 ' ++ <str>.id ++ ')'), c := postgis::astext(postgis::startpoint('LINESTRING(' ++ <str>.id ++ ' 0,1 1)')), s := postgis::srid(postgis::setsrid(postgis::point(1.0, 1.0), <int64>.id)) }",
+        "SELECT n_nationkey AS id, 4.0 * n_nationkey AS a, n_nationkey::DOUBLE AS l, 3::BIGINT AS n, 'POINT(' || n_nationkey || ' 0)' AS c, n_nationkey::BIGINT AS s FROM nation",
+    ),
+    "geo_boxes": (
+        "select Nation { id, l := postgis::op_left(postgis::point(<float64>.id, 0.0), 'POINT(10 10)'), o := postgis::op_overlaps('LINESTRING(0 0,5 5)', postgis::point(<float64>.id, 1.0)), d := postgis::op_distance_box(postgis::point(<float64>.id, 0.0), 'POINT(0 0)'), m := postgis::xmax(postgis::expand(postgis::to_box2d(postgis::point(<float64>.id, 0.0)), 1.0)) }",
+        "SELECT n_nationkey AS id, n_nationkey < 10 AS l, n_nationkey <= 5 AS o, n_nationkey::DOUBLE AS d, n_nationkey + 1.0::DOUBLE AS m FROM nation",
+    ),
+    "geo_extent": ("select postgis::xmax(postgis::extent_agg(postgis::point(<float64>Nation.id, 1.0)))", "SELECT max(n_nationkey)::DOUBLE AS value FROM nation"),
+}
+
+
+#: name: (statements, of which the last reads what the others wrote, SQL)
+WRITES: dict[str, tuple[str, str]] = {
+    "insert_then_read": ("insert Region { id := 77, name := 'ATLANTIS' }; select Region { id, name }", "SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 77, 'ATLANTIS'"),
+    "insert_in_loop": ("for n in {'A', 'B', 'C'} union (insert Region { name := n }); select (group Region by .name) { name := .key.name, n := count(.elements) }", "SELECT name, count(*) AS n FROM (SELECT r_name AS name FROM region UNION ALL SELECT unnest(['A', 'B', 'C'])) GROUP BY 1"),
+    "insert_nested": ("insert Nation { id := 90, name := 'MU', region := (insert Region { id := 91, name := 'DEEP' }) }; select Nation { id, r := .region.name }", "SELECT n_nationkey AS id, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 90, 'DEEP'"),
+    "insert_unless_conflict": ("insert Region { id := 1, name := 'TWICE' } unless conflict; select Region { id, name }", "SELECT r_regionkey AS id, r_name AS name FROM region"),
+    "upsert": ("insert Region { id := 1, name := 'NEW' } unless conflict on .id else (update Region filter .id = 1 set { name := 'NEW' }); select Region { id, name }", "SELECT r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'NEW' ELSE r_name END AS name FROM region"),
+    "update_then_read": ("update Customer filter .mktsegment = 'BUILDING' set { acctbal := .acctbal + 1.0 }; select Customer { id, acctbal }", "SELECT c_custkey AS id, c_acctbal + CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS acctbal FROM customer"),
+    "update_interface": ("update Party filter .acctbal < 0.0 set { acctbal := 0.0 }; select Party { name, acctbal }", "SELECT c_name AS name, greatest(c_acctbal, 0) AS acctbal FROM customer UNION ALL SELECT s_name, greatest(s_acctbal, 0) FROM supplier"),
+    "delete_then_read": ("delete Part filter .size > 25; select Part { id, size }", "SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size <= 25"),
+    "delete_as_source": ("select (delete Part filter .size = 1) { id, brand }", "SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_size = 1"),
+    "insert_as_source": ("select (insert Region { id := 78, name := 'LEMURIA' }) { id, name }", "SELECT 78 AS id, 'LEMURIA' AS name"),
+    "multi_link_append": ("update Order filter .id = 1 set { parts += (select Part filter .id in {1, 2, 3}) }; select Order { id, n := count(.parts) } filter .id <= 5", "SELECT o_orderkey AS id, count(DISTINCT p) FILTER (o_orderkey = 1) + count(p) FILTER (o_orderkey <> 1) AS n FROM (SELECT o_orderkey, l_partkey AS p FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 1, unnest([1, 2, 3])) WHERE o_orderkey <= 5 GROUP BY 1"),
+    "multi_link_clear": ("update Order filter .id <= 3 set { parts := {} }; select Order { id, n := count(.parts) } filter .id <= 6", "SELECT o_orderkey AS id, CASE WHEN o_orderkey <= 3 THEN 0 ELSE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END AS n FROM orders WHERE o_orderkey <= 6"),
+    "multi_link_remove": ("update Order set { parts -= (select Part filter .size < 30) }; select Order { id, n := count(.parts) }", "SELECT o_orderkey AS id, (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size >= 30) AS n FROM orders"),
+    "guarded_insert": ("select (insert Region { id := 79, name := 'X' }) if false else {}; select count(Region)", "SELECT count(*) AS value FROM region"),
 }
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).query(text)) for name, (text, _) in QUERIES.items()}
+    plain = {name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).query(text)) for name, (text, _) in QUERIES.items()}
+    return plain | {name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).script(text)[-1]) for name, (text, _) in WRITES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items()}
+    return {name: sql for name, (_, sql) in (QUERIES | WRITES).items()}
