@@ -61,6 +61,13 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the sorted keys of each of the 2**bits buckets begin, and the end. Beyond 16 bits the low 48 of a key,
+    which are sent, have some of the bucket's bits too."""
+    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=U64) << U64(min(48, 64 - bits)))
+    return np.concatenate([[0], inner, [len(keys)]])
+
+
 class Unit:
     """The tokens of a unit's texts, and its distinct n-grams in order of their keys."""
 
@@ -78,7 +85,7 @@ class Unit:
         context = np.empty_like(tokens)
         context[1:] = tokens[:-1]
         context[last - n] = _START
-        shift = U64(16 - bits)
+        shift = U64(max(0, 16 - bits))
         self.uni, self.uni_at = np.unique(mix64(tokens) >> shift, return_inverse=True)
         self.bi, self.bi_at = np.unique(mix64(context * U64(0x9FB21C651E98DF25) + mix64(tokens)) >> shift, return_inverse=True)
         self.first = np.zeros(len(tokens), bool)
@@ -91,11 +98,10 @@ def _counts(bits: int):
         t = t.combine_chunks()
         unit = Unit(t.column("text").chunk(0) if t.num_rows else pa.array([], pa.binary()), bits)
         train = t.column("train").to_numpy(zero_copy_only=False).astype(float)[unit.doc]
-        edges = np.arange((1 << bits) + 1, dtype=U64) << U64(48)
         cols: dict[str, list] = {"uni": [], "uni_n": [], "bi": [], "bi_n": []}
         for name, keys, at in (("uni", unit.uni, unit.uni_at), ("bi", unit.bi, unit.bi_at)):
             c = np.bincount(at, train, len(keys)).astype(np.int64)
-            cut = np.searchsorted(keys, edges)
+            cut = _cuts(keys, bits)
             for a, z in zip(cut[:-1], cut[1:], strict=True):
                 cols[name].append(_pack(keys[a:z]))
                 cols[name + "_n"].append(_pack_counts(c[a:z]))
@@ -172,10 +178,9 @@ def _scores(bits: int):
             return pa.Table.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)
         unit = Unit(texts.column("text").chunk(0), bits)
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        edges = np.arange((1 << bits) + 1, dtype=U64) << U64(48)
         totals = []
         for name, keys in (("uni_n", unit.uni), ("bi_n", unit.bi)):
-            size = np.diff(np.searchsorted(keys, edges))
+            size = np.diff(_cuts(keys, bits))
             totals.append(np.concatenate([_unpack_counts(r[name], int(n)) for r, n in zip(rows, size, strict=True)]))
         sums = np.sum([r["sums"] for r in rows], 0).tolist()
         model = Automaton(unit, *totals, sums)
@@ -203,8 +208,6 @@ def scores(docs: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT) ->
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     units = max(1, math.ceil(total / UNIT))
     bits = max(0, math.ceil(math.log2(max(1, total / BUCKET))))
-    if bits > 16:
-        raise ValueError("more buckets than the 64-bit keys leave room for")
     rows = rows.withColumn("train", ~F.col("held_out")).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)))
     answers = rows.groupBy("g").applyInArrow(_counts(bits), _COUNTS).groupBy("bucket").applyInArrow(_answers, _ANSWERS)
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_scores(bits), _SCORES)

@@ -38,8 +38,9 @@ def calibrated(score: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, n: int) -> list[tuple[str, int]]:
     """(text, label) of at most n training documents, those of the least hash of doc_id; rows without a label or an
-    id are left out, and of several labels for one id the least counts."""
+    id are left out, and of several labels or texts for one id the least counts."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", modulus) != held_out))
     ids = ids.groupBy("doc_id").agg(F.min(label).alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return sorted((r["text"], int(r["__label"])) for r in rows.select("text", "__label").toLocalIterator())
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__label").alias("__label"))
+    return sorted((r["text"], int(r["__label"])) for r in one.select("text", "__label").toLocalIterator())

@@ -157,8 +157,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
     made = written(ranged.mapInArrow(_ranges, _PART), "fingerprints")
     inner = made.where("edge IS NULL").select(*_NAMES)
-    # two rows for each range, whatever the number of documents
-    ends = made.where("edge IS NOT NULL").coalesce(1).mapInArrow(_edges, _OUT)
+    # two rows for each range, whatever the number of documents; all tasks look for them, one puts them in order
+    ends = made.where("edge IS NOT NULL").repartition(1).mapInArrow(_edges, _OUT)
     return inner.unionByName(ends)
 
 

@@ -86,10 +86,11 @@ def base_failed() -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", n: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of n labelled documents at most. Only their texts are measured."""
+    """Features and labels of n labelled documents at most, each by its least text. Only their texts are measured."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), keep=("doc_id", "label"))
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    rows = statistics(own, keep=("doc_id", "label"))
     rows = [r[1:] for r in rows.select(base_failed(), "label", *FEATURES).collect() if not r[0]]
     data = np.array(sorted(rows), float).reshape(len(rows), 1 + len(FEATURES))
     return data[:, 1:], data[:, 0]

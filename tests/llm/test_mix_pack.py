@@ -1,10 +1,12 @@
 """Mixing, packing and the pipeline."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
+from test_pairs import expected_classes
 
 import corpus_pipeline
 from orrery.llm import mixing, packing
@@ -124,3 +126,70 @@ def test_length_classes_cost_few_tokens():
     of = packing.length_classes(histogram)
     assert of.keys() == histogram.keys() and len(set(of.values())) <= packing.CLASSES and all(c >= s for s, c in of.items())
     assert sum((of[s] - s) * n for s, n in histogram.items()) < 0.01 * sum(s * n for s, n in histogram.items())
+
+
+def removed_by_force(texts, length):
+    count = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if count[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        yield bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
+
+
+def test_pipeline_against_brute_force(spark, docs, labels, tmp_path):
+    """Each stage on what the one before it kept, and `run` as a whole."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    at = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at.append(written(stage(spark, at[-1], str(tmp_path)), name))
+    rows = [[(r["doc_id"], r["text"], r["source"]) for r in d.collect()] for d in at]
+    # rules: none without ten words or with more than a fifth of its words in repeated windows
+    for _, text, _ in rows[1]:
+        words = (text or "").split()
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        count, marked = Counter(windows), set()
+        for k, w in enumerate(windows):
+            if count[w] > 1:
+                marked.update(range(k, k + 5))
+        assert len(words) >= 10 and 100 * len(marked) <= 20 * len(words)
+    assert not Counter(rows[1]) - Counter(rows[0])
+    # near duplicates: the least id of each class
+    classes = expected_classes(rows[1])
+    named = {classes[t] for _, t, _ in rows[1]} - {None}
+    assert Counter(r[0] for r in rows[2] if r[0] is not None) == Counter(named) and not Counter(rows[2]) - Counter(rows[1])
+    # repeated strings
+    cut = removed_by_force([t.encode() for _, t, _ in rows[2]], corpus_pipeline.REPEAT_BYTES)
+    assert Counter(rows[3]) == Counter((i, t, s) for (i, _, s), t in zip(rows[2], cut, strict=True))
+    # mixing: whole documents, three times at most, each source near its target
+    before, after = Counter(rows[3]), Counter(rows[4])
+    assert set(after) <= set(before) and all(n <= 3 * before[r] for r, n in after.items())
+    size = lambda t: len(t.split())
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows[3]:
+        sizes[s] += size(t)
+    for _, t, s in rows[4]:
+        taken[s] += size(t)
+    for s, goal in expected_targets(dict(sizes)).items():
+        assert abs(taken[s] - goal) <= max(size(t) for _, t, of in rows[3] if of == s)
+    # packing, after a whole run
+    whole = tokenizers.Tokenizer.from_file(packing.default_path())
+    tokens = {}
+    for i, t, _ in rows[4]:
+        tokens[i] = [*whole.encode(t, add_special_tokens=False).ids, 2]
+    made = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(p["length"] for p in made) == sum(len(tokens[i]) * n for i, n in Counter(r[0] for r in rows[4]).items())
+    for p in made:
+        ids = tokens[p["doc_id"]]
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+    places = defaultdict(list)
+    for p in made:
+        places[p["sequence_id"]].append((p["offset"], p["length"]))
+    for run in places.values():
+        end = 0
+        for offset, length in sorted(run):
+            assert offset == end
+            end += length
+        assert end <= 4096

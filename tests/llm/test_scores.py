@@ -139,6 +139,16 @@ def test_language_model_against_brute_force(docs, rows, none, monkeypatch):
     assert backoff_lm.scores(none).count() == 0
 
 
+def test_buckets_beyond_sixteen_bits():
+    """Keys are cut into buckets by their leading bits, however many there are."""
+    for bits in (0, 3, 16, 18):
+        raw = np.sort(np.random.default_rng(bits).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+        keys = raw >> np.uint64(max(0, 16 - bits))
+        cut = backoff_lm._cuts(keys, bits)
+        want = np.bincount((raw >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else [5000]
+        assert list(np.diff(cut)) == list(want)
+
+
 def page(title, paragraphs, extra=""):
     body = "".join(f"<p>{p}</p>" for p in paragraphs)
     return f"<html><head><title>{title}</title><script>x('<p>')</script></head><body><nav><ul><li>Home</li><li>More</li></ul></nav>{extra}<article><h1>{title}</h1>{body}</article><div class='sidebar'>buy</div><div id=\"comments\"><p>first!</p></div><footer>&copy; us</footer></body></html>"
