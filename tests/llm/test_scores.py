@@ -110,43 +110,68 @@ def test_field_marginals_against_enumeration():
             assert got[a] == pytest.approx(sum(v for y, v in weight.items() if y[k]) / z)
 
 
-def test_language_model_against_brute_force(docs, rows, none, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "UNIT", 20_000)
-    monkeypatch.setattr(backoff_lm, "BUCKET", 10_000)
+def brute_force_language_model(rows, order):
+    """Scores by the definition: the arc of the longest context that has one, after the failure arcs on the way."""
     lower = {i: i + 32 for i in range(65, 91)}
     tokens = [[*WORD.findall((r[1] or "").translate(lower)), "\n"] for r in rows]
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in rows]
-    c, b, starts = Counter(), Counter(), 0
+    seen = [Counter() for _ in range(order + 1)]  # by length
+    left = Counter()  # how often a context was left
     for t, h in zip(tokens, held, strict=True):
-        if not h:
-            c.update(t)
-            b.update(zip(["\t", *t], t, strict=False))
-            starts += 1
+        for k, w in enumerate(t):
+            for length in range(1, order + 1):
+                context = tuple(["\t", *t][max(0, k + 2 - length) : k + 1])
+                if not h and len(context) == length - 1:
+                    seen[length][*context, w] += 1
+                    left[context] += 1
+    c = Counter({w: n for (w,), n in seen[1].items()})
     n, v = sum(c.values()), len(c)
+    clip = lambda x: min(max(x, 0.05), 0.95)
     n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-    d, share = (min(max(x, 0.05), 0.95) for x in (n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5, sum(x == 1 for x in b.values()) / sum(b.values())))
-    context = {**c, "\t": starts}
+    d = clip(n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5)
+    share = [0, 0, *[clip(sum(x == 1 for x in s.values()) / sum(s.values())) for s in seen[2:]]]
+
+    def probability(context, w):
+        if not context:
+            return (c[w] - d) / n if c[w] else d * v / n
+        shorter = probability(context[1:], w)
+        if not left[context]:
+            return shorter
+        part = share[len(context) + 1]
+        return (1 - part) * seen[len(context) + 1][*context, w] / left[context] + part * shorter
+
     want = Counter()
     for r, t, h in zip(rows, tokens, held, strict=True):
-        score = 0.0
-        for a, w in zip(["\t", *t], t, strict=False):
-            p = (c[w] - d) / n if c[w] else d * v / n
-            score += math.log10(((1 - share) * b[a, w] / context[a] + share * p) if context.get(a) else p)
+        score = sum(math.log10(probability(tuple(["\t", *t][max(0, k + 2 - order) : k + 1]), w)) for k, w in enumerate(t))
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
         want[(r[0], h, len(t), sum(c[w] > 0 for w in t), n, round(base, 5), round(score, 5))] += 1
-    got = Counter((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in backoff_lm.scores(docs).collect())
-    assert got == want
-    assert backoff_lm.scores(none).count() == 0
+    return want
+
 
+@pytest.mark.parametrize(("order", "direct"), [(1, 12), (2, 12), (3, 12), (3, 1), (4, 3)])
+def test_language_model_against_brute_force(docs, rows, none, monkeypatch, order, direct):
+    """Whether units write to buckets or to relays, the scores are those of the definition."""
+    monkeypatch.setattr(backoff_lm, "UNIT", 10_000)
+    monkeypatch.setattr(backoff_lm, "BUCKET", 6_000)
+    monkeypatch.setattr(backoff_lm, "DIRECT", direct)
+    got = Counter((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in backoff_lm.scores(docs, order=order).collect())
+    assert got == brute_force_language_model(rows, order)
+    assert backoff_lm.scores(none, order=order).count() == 0
 
-def test_buckets_beyond_sixteen_bits():
-    """Keys are cut into buckets by their leading bits, however many there are."""
-    for bits in (0, 3, 16, 18):
-        raw = np.sort(np.random.default_rng(bits).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
-        keys = raw >> np.uint64(max(0, 16 - bits))
-        cut = backoff_lm._cuts(keys, bits)
-        want = np.bincount((raw >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else [5000]
-        assert list(np.diff(cut)) == list(want)
+
+def test_packed_keys():
+    """Sorted keys come back from their differences, and parts of any number of bits hold the keys with those bits."""
+    rng = np.random.default_rng(0)
+    for bits, n in ((0, 0), (0, 1), (3, 5000), (16, 5000), (18, 40)):
+        for order in (1, 2):
+            width = backoff_lm._width(order, bits)
+            keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) >> np.uint64(63 - bits - width if bits + width < 64 else 0))
+            cut, low = backoff_lm._split(keys, bits, width)
+            assert list(np.diff(cut)) == list(np.bincount((keys >> np.uint64(width)).astype(np.int64), minlength=1 << bits))
+            for b in range(0, 1 << bits, 97):
+                part = low[cut[b] : cut[b + 1]]
+                assert list(backoff_lm._unpack(backoff_lm._pack(part))) == list(part)
+                assert list(part + (np.uint64(b) << np.uint64(width))) == list(keys[cut[b] : cut[b + 1]])
 
 
 def page(title, paragraphs, extra=""):
