@@ -4,10 +4,11 @@ A page is a stream of tokens, tags (by name and class) and texts. Repeats within
 the streams of a host's pages are aligned one after another. Where they differ, a text becomes a slot, a group that
 stands against one copy of its body takes it in, and whatever only one side has becomes optional. The wrapper of a
 host comes from all its pages: equal streams are counted first, then aligned in salted groups, and the groups' wrappers
-likewise until one is left. All pages are parsed by it, and each slot is judged over them by the containers it stands
-in and by whether its text ever changes, apart for pages with and without a main container of their own. Then a text
-has its slot's verdict for its kind of page, and a text that the wrapper has no place for is judged by its own
-containers.
+likewise until one is left. All pages are parsed by it; where a page and the wrapper part, they go on from the nearest
+place at which they meet again. Each slot is judged over all pages by the containers it stands in and, on pages without
+a main container of their own, by what the wrapper tells: a block that different pages share is not theirs, nor is a
+repeated group whose blocks are links alone. Then a text has its slot's verdict for its kind of page, and a text that
+the wrapper has no place for is judged by its own containers.
 
 Defined results: null html is an empty page, with text '' and 0 characters; a null or odd url has the empty host;
 broken and missing end tags close with their containers; repeated rows give repeated results; an empty table gives no
@@ -20,6 +21,7 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from operator import eq
 
@@ -45,25 +47,29 @@ _OUT_CLASS = re.compile(
     re.I,
 )
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Page:
     """Symbols, texts and places of the tokens of a page. Places: 'x' outside, 'm' in the main container, 'b' elsewhere."""
 
-    __slots__ = ("places", "symbols", "texts")
+    __slots__ = ("linked", "places", "symbols", "texts")
 
     def __init__(self, html: str):
-        self.symbols, self.texts, self.places = [], [], []
+        self.symbols, self.texts, self.places, self.linked = [], [], [], []
+        in_link = False
         stack: list[tuple[str, str]] = []
         place, hidden, at = "b", None, 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
-                self._text(html[at : m.start()], "x" if hidden else place)
+                self._text(html[at : m.start()], "x" if hidden else place, in_link)
             at = m.end()
             name = m[3]
             if not name:
                 continue
             name = name.lower()
+            if name == "a":
+                in_link = not m[2]
             if name in ("head", "title", "button", "option"):
                 hidden = (name if not m[2] else None) if hidden in (None, name) or name == "head" else hidden
             if m[2]:
@@ -84,14 +90,15 @@ class Page:
                 stack.append((name, place))
             self._tag(f"<{name} {re.sub(r'[0-9]+', '', label)}".rstrip())
         if at < len(html):
-            self._text(html[at:], "x" if hidden else place)
+            self._text(html[at:], "x" if hidden else place, in_link)
 
     def _tag(self, symbol: str) -> None:
         self.symbols.append(symbol)
         self.texts.append("")
         self.places.append("")
+        self.linked.append(False)
 
-    def _text(self, raw: str, place: str) -> None:
+    def _text(self, raw: str, place: str, in_link: bool) -> None:
         text = entities.unescape(raw)
         if text.strip():
             self.symbols.append("T")
@@ -101,6 +108,26 @@ class Page:
             return
         self.texts.append(text)
         self.places.append(place)
+        self.linked.append(in_link)
+
+    def blocks(self) -> list[tuple[int, bool]]:
+        """By token, for texts, the digest of the block's whole text and whether the block consists of links alone, as
+        no heading is taken to."""
+        out = [(0, False)] * len(self.symbols)
+        block: list[int] = []
+        heading = False
+        for k, s in enumerate([*self.symbols, "</body"]):
+            if s in ("T", " "):
+                block.append(k)
+            elif (name := s.lstrip("</").split(" ")[0]) not in _INLINE:
+                if block:
+                    told = _short(" ".join("".join(self.texts[t] for t in block).split()))
+                    links = not heading and all(self.linked[t] for t in block if self.symbols[t] == "T")
+                    for t in block:
+                        out[t] = told, links
+                    block.clear()
+                heading = name in _HEADINGS and s[1] != "/"
+        return out
 
     def shown(self, kept: list[bool]) -> str:
         parts = []
@@ -213,45 +240,62 @@ def align(a: list, b: list) -> list:
 
 
 class Parser:
-    """Gives the text tokens of a page the slots of a wrapper. A slot is the place of a T in the wrapper."""
+    """Gives the text tokens of a page the slots of a wrapper. A slot is the place of a T in the wrapper; `repeated` has
+    those in groups."""
 
     def __init__(self, wrapper: list):
-        self.count = 0
-        self.items = self._numbered(wrapper)
+        self.count, self.repeated = 0, set()
+        self.items = self._numbered(wrapper, False)
+        self.heads = [_head(x) for x in wrapper]
 
-    def _numbered(self, items: list) -> list:
+    def _numbered(self, items: list, repeated: bool) -> list:
         out = []
         for x in items:
             if isinstance(x, list):
-                out.append((x[0], self._numbered(x[1])))
+                out.append((x[0], self._numbered(x[1], repeated or x[0] == "+")))
             else:
                 out.append((x, self.count if x == "T" else -1))
-                self.count += x == "T"
+                if x == "T":
+                    if repeated:
+                        self.repeated.add(self.count)
+                    self.count += 1
         return out
 
     def parse(self, symbols: list[str]) -> list[int]:
         """Slots, -1 for tags and for texts without a place."""
         self.slots = [-1] * len(symbols)
-        at = 0
-        seen = [k for k, s in enumerate(symbols) if s != " "]
-        stream = [symbols[k] for k in seen]
-        self.seen = seen
-        for item in self.items:
-            got = self._match(item, stream, at)
-            if got is None:
-                if item[0] == "?" or at >= len(stream):
-                    continue
-                # the page has tokens that the wrapper lacks, or lacks this item
-                head = item
-                while isinstance(head[1], list):
-                    head = head[1][0]
-                skip = next((k for k in range(at + 1, min(len(stream), at + 60)) if stream[k] == head[0]), None) if head[0] != "T" else None
-                got = self._match(item, stream, skip) if skip is not None else None
-                if got is None:
-                    continue
-            at = got
+        self.seen = [k for k, x in enumerate(symbols) if x != " "]
+        stream = [symbols[k] for k in self.seen]
+        places: dict[str, list[int]] = {}
+        for k, x in enumerate(stream):
+            places.setdefault(x, []).append(k)
+        i = at = 0
+        while i < len(self.items) and at < len(stream):
+            got = self._match(self.items[i], stream, at)
+            if got is not None:
+                i, at = i + 1, got
+            elif self.items[i][0] == "?":
+                i += 1
+            else:
+                meet = self._meet(places, i, at)
+                if meet is None:
+                    break
+                i, at = meet
         return self.slots
 
+    def _meet(self, places: dict[str, list[int]], i: int, at: int) -> tuple[int, int] | None:
+        """From an item and a token that don't match: the pair of an item and a token from there on that costs the fewest
+        skipped items and tokens. Texts are everywhere and no such place."""
+        best, cost = None, None
+        for j in range(i, len(self.items)):
+            if cost is not None and j - i >= cost:
+                break
+            on = places.get(self.heads[j], ()) if self.heads[j] != "T" else ()
+            k = bisect_left(on, at + (j == i))
+            if k < len(on) and (cost is None or j - i + on[k] - at < cost):
+                best, cost = (j, on[k]), j - i + on[k] - at
+        return best
+
     def _match(self, item: tuple, stream: list[str], at: int) -> int | None:
         kind, what = item
         if kind not in ("+", "?") or not isinstance(what, list):
@@ -293,7 +337,8 @@ def _short(text: str) -> int:
 
 class Seen:
     """What pages show of the slots of a wrapper. By (slot, whether the page has a main container): how often outside,
-    in the main container and elsewhere, the least and greatest text, and up to three different pages' whole texts."""
+    in the main container and elsewhere, the least and greatest block by digest, up to three different pages' whole texts, and how
+    often in repeated blocks of links alone."""
 
     def __init__(self, parser: Parser):
         self.parser, self.found = parser, {}
@@ -301,17 +346,19 @@ class Seen:
     def add(self, page: Page) -> None:
         main = "m" in page.places
         whole = 0 if main else _short(page.shown([x == "b" for x in page.places]))
-        for slot, text, place in zip(self.parser.parse(page.symbols), page.texts, page.places, strict=True):
+        blocks = [] if main else page.blocks()
+        for k, (slot, place) in enumerate(zip(self.parser.parse(page.symbols), page.places, strict=True)):
             if slot >= 0:
                 f = self.found.get((slot, main))
                 if f is None:
-                    f = self.found[(slot, main)] = [0, 0, 0, 1 << 63, -1 << 63, set()]
+                    f = self.found[(slot, main)] = [0, 0, 0, 1 << 63, -1 << 63, set(), 0]
                 f["xmb".index(place)] += 1
                 if not main:
-                    t = _short(" ".join(text.split()))
+                    t, links = blocks[k]
                     f[3], f[4] = min(f[3], t), max(f[4], t)
                     if len(f[5]) < 3:
                         f[5].add(whole)
+                    f[6] += links and slot in self.parser.repeated
 
 
 def infer(pages: list[str]) -> dict:
@@ -324,9 +371,9 @@ def infer(pages: list[str]) -> dict:
     for p in parsed:
         seen.add(p)
     keep = []
-    for (slot, main), (x, m, b, low, high, on) in seen.found.items():
-        # without a main container, a text that different pages share is not theirs
-        if (m >= x and m >= b) if main else (b >= x and not (low == high and len(on) >= 3)):
+    for (slot, main), (x, m, b, low, high, on, links) in seen.found.items():
+        # without a main container, neither a text that different pages share nor a list of links is theirs
+        if (m >= x and m >= b) if main else (b >= x and not ((low == high or links == x + m + b) and len(on) >= 3)):
             keep.append(2 * slot + main)
     return {"wrapper": wrapper, "keep": keep, "main": any("m" in p.places for p in parsed)}
 
@@ -389,18 +436,18 @@ def _observed(batches):
             if name not in seen:
                 seen[name] = Seen(Parser(json.loads(found)))
             seen[name].add(Page(html))
-        rows = [(name, slot, main, x, m, o, None if main else low, None if main else high, sorted(on)) for name, s in seen.items() for (slot, main), (x, m, o, low, high, on) in s.found.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 9
-        types = [pa.string(), pa.int32(), pa.bool_(), *[pa.int64()] * 5, kind]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["__host", "slot", "main", "x", "m", "b", "low", "high", "pages"])
+        rows = [(name, slot, main, x, m, o, None if main else low, None if main else high, sorted(on), links) for name, s in seen.items() for (slot, main), (x, m, o, low, high, on, links) in s.found.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 10
+        types = [pa.string(), pa.int32(), pa.bool_(), *[pa.int64()] * 5, kind, pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["__host", "slot", "main", "x", "m", "b", "low", "high", "pages", "links"])
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
     """(__host, keep) as in infer(), from all `pages`, which have their wrappers."""
-    seen = pages.select("html", "__host", "wrapper").mapInArrow(_observed, "__host string, slot int, main boolean, x long, m long, b long, low long, high long, pages array<long>")
-    sums = [F.sum(c).alias(c) for c in "xmb"]
+    seen = pages.select("html", "__host", "wrapper").mapInArrow(_observed, "__host string, slot int, main boolean, x long, m long, b long, low long, high long, pages array<long>, links long")
+    sums = [F.sum(c).alias(c) for c in ("x", "m", "b", "links")]
     seen = seen.groupBy("__host", "slot", "main").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("on"))
-    kept = F.when(F.col("main"), F.expr("m >= x AND m >= b")).otherwise(F.expr("b >= x AND NOT (low = high AND on >= 3)"))
+    kept = F.when(F.col("main"), F.expr("m >= x AND m >= b")).otherwise(F.expr("b >= x AND NOT ((low = high OR links = x + m + b) AND on >= 3)"))
     return seen.where(kept).groupBy("__host").agg(F.collect_list(F.col("slot") * 2 + F.col("main").cast("int")).alias("keep"))
 
 

@@ -206,3 +206,35 @@ def test_pages_of_another_template_keep_their_article(spark):
     got = {r["page_id"]: r["text"] for r in html_wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[500] == "Other its own article" and {got[i] for i in range(200)} == {"T one"}
     assert [got[600 + i] for i in range(64)] == [f"text {max(0, i - 60)}" for i in range(64)]
+
+
+def neutral_page(k, rng):
+    """A page whose names say nothing: a menu, a list of other pages, an article, a notice and a last line."""
+    say = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
+    body = [say(30) for _ in range(1 + k % 4)]
+    others = "".join(f"<li><a href='/{rng.randrange(99)}'>{say(3)}</a></li>" for _ in range(3 + k % 3))
+    menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Start", "Archive", "About"))
+    notice = "<div class=qe><p>This site keeps small files on your machine.</p></div>" if k % 2 else ""
+    article = f"<h1>Title {k}</h1>" + "".join(f"<p>{p} <a href='/x'>link {k}</a> on.</p>" for p in body)
+    html = f"<body><div class=qa><ul>{menu}</ul></div>{notice}<div class=qb>{article}</div><div class=qc><ul>{others}</ul></div><div class=qd>All rights with us</div></body>"
+    return html, " ".join([f"Title {k}", *[f"{p} link {k} on." for p in body]])
+
+
+def test_wrapper_on_pages_with_neutral_names(spark):
+    """Only what the wrapper knows of the host tells the article here; the containers alone get no page right."""
+    rng = random.Random(5)
+    made = [neutral_page(k, rng) for k in range(40)]
+    got = html_wrapper.extracted(spark.createDataFrame([(k, f"http://n.example/{k}", h) for k, (h, _) in enumerate(made)], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {k: t for k, (_, t) in enumerate(made)}
+    found = html_wrapper.infer([h for h, _ in made])
+    assert [html_wrapper.Wrapper(found["wrapper"], found["keep"]).text(h) for h, _ in made] == [t for _, t in made]
+    assert all(html_wrapper.Wrapper([], []).text(h) != t for h, t in made)
+
+
+def test_page_and_wrapper_meet_again_however_far():
+    """A long body that the wrapper lacks, before a part that it has."""
+    wrapper = ["<div q", "T", "</div", "<p last", "T", "</p"]
+    symbols = ["<div q", "T", "</div", *["<section", "T", "</section"] * 500, "<p last", "T", "</p"]
+    got = html_wrapper.Parser(wrapper).parse(symbols)
+    assert got[1] == 0 and got[-2] == 1 and set(got[3:-3]) == {-1}
+    assert html_wrapper.Parser(["<div", "T", "</div", "<gone", "<p", "T"]).parse(["<div", "T", "</div", "<p", "T"]) == [-1, 0, -1, -1, 1]
