@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, table, written
+from .common import chunks, discard, release, table, written
 
 SIZE = 4096
 CLASSES = 320
@@ -42,7 +42,7 @@ _encoders: dict[str, tuple] = {}
 
 
 class Encoder:
-    """Token ids of texts, those of each lower-case word kept.
+    """Token ids of texts, those of each lower-case word kept in arrays: `words`, and by `at` their part of `ids`.
 
     The vocabulary's normaliser composes (NFC), collapses white space and lowers case by characters, and no token
     goes over white space; so a text is encoded word by word. The few texts where that would differ are encoded
@@ -55,23 +55,28 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = {t.content: n for n, t in self.whole.get_added_tokens_decoder().items()}
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
 
-    def learn(self, words: list[str]) -> None:
+    def forget(self) -> None:
+        self.words, self.ids, self.at = pa.array([""], pa.large_string()), np.zeros(0, "<u4"), np.zeros(2, np.int64)
+
+    def learn(self, words: pa.Array) -> None:
         """Encodes words, a hundred at a time with a special token between them, which no word has in it."""
+        texts, ids, sizes = words.to_pylist(), [self.ids], []
         if not self.special:
-            codes = self.whole.encode_batch_fast(words, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, codes, strict=True))
-            return
-        between, number = next(iter(self.special.items()))
-        for k in range(0, len(words), 100):
-            part = words[k : k + 100]
-            ids = np.array(self.whole.encode(between.join(part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == number)
-            raw = ids.tobytes()
-            ends = [*(4 * cut).tolist(), len(raw)]
-            starts = [0, *(4 * cut + 4).tolist()]
-            self.known.update((w, raw[x:y]) for w, x, y in zip(part, starts, ends, strict=True))
+            codes = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            ids += codes
+            sizes.append(np.array([len(c) for c in codes], np.int64))
+        else:
+            between, number = next(iter(self.special.items()))
+            for k in range(0, len(texts), 100):
+                got = np.array(self.whole.encode(between.join(texts[k : k + 100]), add_special_tokens=False).ids, "<u4")
+                sign = got == number
+                ids.append(got[~sign])
+                sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], sign, [True]]))) - 1)
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the n + 1 offsets of the texts in them."""
@@ -80,14 +85,18 @@ class Encoder:
         plain = ["" if k in odd else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for k, t in enumerate(texts)]
         split = pa.compute.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         each = split.flatten().dictionary_encode()
-        words = each.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        self.learn([w for w in words if w not in self.known])
-        codes = [self.known[w] for w in words]
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(codes), "<u4")
+        if len(self.words) > CACHE:
+            self.forget()
+        number = pa.compute.index_in(each.dictionary, value_set=self.words)
+        known, new = len(self.words), each.dictionary.filter(number.is_null())
+        if len(new):
+            self.learn(new)
+            place = number.fill_null(-1).to_numpy().astype(np.int64)
+            place[place < 0] = known + np.arange(len(new))
+        else:
+            place = number.to_numpy()
+        start, size = self.at[place], self.at[place + 1] - self.at[place]
+        flat = self.ids
         at = each.indices.to_numpy(zero_copy_only=False)
         length = size[at]
         ends = np.cumsum(length)
@@ -134,6 +143,7 @@ def _pieces(path: str, size: int, end: int):
                 crc = [zlib.crc32(raw[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
                 cols = [ids.take(pa.array(row + lo)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[row])]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return run
 
