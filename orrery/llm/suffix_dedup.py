@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_INV, U64, byte_rows, chunks, discard, mix64, powers, prefix_hash, table, written
+from .common import BASE_INV, U64, byte_rows, chunks, discard, mix64, powers, prefix_hash, release, table, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 128
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SEGMENT = 1 << 22
 BLOCK = 1 << 20
 MOST = 1500
@@ -71,7 +71,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return rows[new], starts[new], np.diff(np.append(new, len(starts))), at[new] - starts[new], h[at[new]].view(np.int64)
 
 
-def _digest(x: bytes) -> int:
+def _digest(x: bytes | memoryview) -> int:
     return int.from_bytes(hashlib.md5(x).digest()[:8], "little", signed=True)
 
 
@@ -98,16 +98,18 @@ def _occurrences(length: int, gram: int):
             yield r + row, s + a, n, off, h
 
     def run(batches):
+        release()
         for b in batches:
             data, offsets = byte_rows(b.column("text"))
             ids, keys = b.column("id"), b.column("th")
-            whole = data.tobytes()
+            whole = memoryview(data)
             for r, s, n, off, h in found(data, offsets):
                 digests = [_digest(whole[x : x + y]) for x, y in zip(s.tolist(), (n + length - 1).tolist(), strict=True)]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(take), keys.take(take), pa.array(s - offsets[r]), pa.array(n), pa.array(off), pa.array(h), pa.array(digests, pa.int64())], ["id", "th", "at", "n", "off", "key", "ctx"],
                 )
+        release()
 
     return run
 
@@ -173,6 +175,7 @@ def _sorted_blocks(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(keys[who]), pa.array(ctxs[who]), pa.array(lo), pa.array(hi)], ["key", "ctx", "lo", "hi"])
 
     def run(batches):
+        release()
         keep, held, last = [], 0, None
         for b in batches:
             for row in zip(*[b.column(c).to_pylist() for c in ("key", "ctx", "n", "text", "many")], strict=True):
