@@ -157,6 +157,9 @@ def _write_links(engine, compiler: Compiler, kind, name: str, op: str, value: A.
             if found.mods.limit is not None or found.mods.offset is not None:
                 found = replace(found, df=compiler._cut(found), mods=A.Mods())
             target = [compiler.scalar(v, found, env).alias(f"__p_{n}") for n, v in props.items()]
+            if op == "-=":
+                _take_links(engine, link, sources, found.df.select(found.key.alias("__target")))
+                return
             pairs = sources.select("__source").crossJoin(found.df.select(found.key.alias("__target"), *target).dropDuplicates(["__target"]))
     cols = [F.col("__source").cast(bridge.schema[own].dataType).alias(own), F.col("__target").cast(bridge.schema[other].dataType).alias(other)]
     plain = {link.properties[n]: F.col(f"__p_{n}") for n in props}
@@ -174,6 +177,17 @@ def _write_links(engine, compiler: Compiler, kind, name: str, op: str, value: A.
     engine.store[link.through] = kept.unionByName(new)
 
 
+def _take_links(engine, link, sources: DataFrame, targets: DataFrame) -> None:
+    """Takes away the links of the objects (__source) to the objects (__target). The bridge is joined to either set, as
+    there may be far more pairs of them than links."""
+    bridge = engine.table(link.through)
+    own, other = link.source_column, link.target_column
+    to = frozen(targets.select(F.col("__target").cast(bridge.schema[other].dataType).alias("__b")).distinct().withColumn("__to", F.lit(True)))
+    by = sources.select(F.col("__source").cast(bridge.schema[own].dataType).alias("__a")).distinct().withColumn("__by", F.lit(True))
+    marked = bridge.join(to, F.col(other) == F.col("__b"), "left").join(by, F.col(own) == F.col("__a"), "left")
+    engine.store[link.through] = marked.where("__to IS NULL OR __by IS NULL").select(*bridge.columns)
+
+
 # --- update, delete
 
 
@@ -193,13 +207,15 @@ def _update(engine, compiler: Compiler, kind, node: A.Update) -> DataFrame:
         else:
             new[_column(kind, name)] = F.lit(None) if isinstance(value, A.SetOf) and not value.items else compiler.scalar(value, frame, {})
     found = frozen(frame.df.select(frame.key.alias("__id"), *[c.cast(table.schema[n].dataType).alias(f"__new_{n}") for n, c in new.items()]).withColumn("__hit", F.lit(True)))
-    both = table.withColumn("__key", F.expr(kind.key)).join(found, F.col("__key") == F.col("__id"), "left")
-    cols = [(F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)) if c in new else F.col(c)).cast(table.schema[c].dataType).alias(c) for c in table.columns]
-    changed = both.select("__hit", *cols)
-    if any("update" in r.on for r in kind.rewrites):
-        hit = _rewritten(compiler, kind, changed.where("__hit"), "update")
-        changed = changed.where("__hit IS NULL").unionByName(hit)
-    engine.store[kind.table] = changed.drop("__hit")
+    rewritten = any("update" in r.on for r in kind.rewrites)
+    if new or rewritten:  # links alone leave the objects' own table as it is
+        both = table.withColumn("__key", F.expr(kind.key)).join(found, F.col("__key") == F.col("__id"), "left")
+        cols = [(F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)) if c in new else F.col(c)).cast(table.schema[c].dataType).alias(c) for c in table.columns]
+        changed = both.select("__hit", *cols)
+        if rewritten:
+            hit = _rewritten(compiler, kind, changed.where("__hit"), "update")
+            changed = changed.where("__hit IS NULL").unionByName(hit)
+        engine.store[kind.table] = changed.drop("__hit")
     if new:
         _check(engine, compiler, kind, changed.where("__hit").drop("__hit"))
     ids = found.select(F.col("__id").alias("id"))

@@ -181,6 +181,30 @@ def test_multi_links(engine):
     assert rows(engine.query(worn)) == [([],)]
 
 
+def test_links_are_removed_without_a_row_for_each_pair(spark, monkeypatch):
+    from orrery.operators import mutate
+
+    n = 300
+    worn = [(s, b, 0.0) for s in range(n) for b in (s, s + 1, s + 1, n + 5, None)] + [(None, 1, 0.0), (n + 9, 1, 0.0)]
+    tables = {
+        **{t: spark.createDataFrame(*TABLES[t]) for t in ("port", "ship")},
+        "sailor": spark.createDataFrame([(i, "x", "mate", i, False, None) for i in range(n)], TABLES["sailor"][1]),
+        "badge": spark.createDataFrame([(i, f"b{i}") for i in range(n)], TABLES["badge"][1]), "worn": spark.createDataFrame(worn, TABLES["worn"][1]),
+    }
+    engine, made, whole = Engine(spark, Schema(TYPES), tables), [], mutate.frozen
+
+    def counted(df):
+        out = whole(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(mutate, "frozen", counted)
+    engine.query("update Sailor filter .years < 250 set { badges -= (select Badge filter .id < 200) }")
+    stay = [w for w in worn if None in w or not (w[0] < 250 and w[1] < 200)]
+    assert sorted(rows(engine.table("worn")), key=repr) == sorted(stay, key=repr)
+    assert max(made) <= n
+
+
 def test_save_transactions_sql_dump(engine, tmp_path):
     ids = engine.save("Ship", {"name": "Skua", "tons": 3, "port": {"name": "Oban"}}, {"id": 1, "name": "Petrel II"})
     assert ids == [3, 1] and rows(engine.query("select Ship { p := .port.name } filter .name = 'Skua'")) == [("Oban",)]
