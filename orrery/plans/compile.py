@@ -344,7 +344,7 @@ class Compiler:
             frame, value = self.ranged(arg, env)
             order = tuple(self._order(frame, env)) or frame.order
             if name == "array_agg" and order and not distinct:
-                df = frame.df.withColumn("__at", F.row_number().over(Window.orderBy(*order)))
+                df = frame.df.withColumn("__at", F.rank().over(Window.orderBy(*order)))
                 return Frame(df.agg(self._in_order(F.col("__at"), value).alias("value")), value=F.col("value"))
             out = AGGREGATES[name](value, distinct)
             return Frame(frame.df.agg(out.alias("value")), value=F.col("value"))
@@ -357,6 +357,7 @@ class Compiler:
 
     @staticmethod
     def _in_order(at: Column, value: Column) -> Column:
+        """The values by rank; those of one rank by themselves, so that ties come out the same in every run."""
         return F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), value.alias("v")))), lambda s: s["v"])
 
     def ranged(self, node: A.Node, env: dict, scalar: bool = False) -> tuple[Frame, Column]:
@@ -900,7 +901,7 @@ class Compiler:
         order = tuple(self._order(child, {})) or child.order
         if in_order and order:
             at = self.fresh("n")
-            child = replace(child, df=child.df.withColumn(at, F.row_number().over(Window.partitionBy(parent).orderBy(*order))))
+            child = replace(child, df=child.df.withColumn(at, F.rank().over(Window.partitionBy(parent).orderBy(*order))))
             how = lambda c: self._in_order(F.col(at), c)
         per = child.df.groupBy(parent.alias(of)).agg(how(value).alias(out))
         frame.df = frame.df.join(per, frame.key == F.col(of), "left")

@@ -101,6 +101,18 @@ def test_ordered_array_agg(engine):
     assert got == {"Petrel": ["Odd", "Ines"], "Auk": ["Rui"]}
 
 
+def test_ties_of_an_ordered_array_agg_do_not_follow_the_layout(spark):
+    crew = [(i, f"{i % 7}-{i}", "mate", i // 20, False, i % 2 + 1) for i in range(80)]
+    got = []
+    for order, parts in ((crew, 1), (crew[::-1], 1), (crew[40:] + crew[:40], 3)):
+        tables = {n: spark.createDataFrame(*TABLES[n]) for n in TABLES if n != "sailor"}
+        engine = Engine(spark, Schema(TYPES), {**tables, "sailor": spark.createDataFrame(order, TABLES["sailor"][1]).coalesce(parts)})
+        whole = engine.query("select array_agg((select Sailor order by .years desc).name)").first()[0]
+        got.append((whole, dict(rows(engine.query("select Ship { id, crew := array_agg((select .<ship[is Sailor] order by .years desc).name) }")))))
+    want = sorted(crew, key=lambda c: (-c[3], c[1]))
+    assert got == [([c[1] for c in want], {s: [c[1] for c in want if c[5] == s] for s in (1, 2)})] * 3
+
+
 def test_sets_in_expressions(engine):
     assert sorted(rows(engine.query("select array_unpack([5, 6]) + 1"))) == [(6,), (7,)]
     assert rows(engine.query("select count(Port.name union Ship.name)")) == [(4,)]
