@@ -91,23 +91,28 @@ def _induce(x: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
 
 
 def _doubled(names: np.ndarray, steps: int) -> np.ndarray:
-    """The order of the suffixes of `names`, by their first 2**steps symbols at least."""
-    rank = names.astype(np.int64)
-    n = len(rank)
+    """The order of the suffixes of `names`, by their first 2**steps symbols at least; only those that are still tied
+    are moved."""
+    n = len(names)
+    order = np.argsort(names)
+    live, key = np.arange(n), names[order]
+    rank = np.zeros(n, np.int64)
     width = 1
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = rank[width:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.append(False, key[1:] != key[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+        fresh = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(fresh)
+        rank[order[live]] = np.repeat(live[first], np.diff(np.append(first, len(live))))
+        live = live[~(fresh & np.append(fresh[1:], True))]
+        if not len(live) or steps <= 0:
+            return order
+        tied = order[live]
+        after = np.minimum(tied + width, n)
+        key = rank[tied] * (n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        moved = np.argsort(key, kind="stable")  # nearly in order
+        order[live] = tied[moved]
+        key = key[moved]
         width *= 2
         steps -= 1
-        if fresh.sum() == n - 1 or steps <= 0 or width >= n:
-            return order
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:

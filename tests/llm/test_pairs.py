@@ -132,6 +132,45 @@ def test_removal_against_brute_force(docs, rows, most, monkeypatch):
     assert got == Counter((r[0], *e) for r, e in zip(rows, expected_removal(texts, 400), strict=True))
 
 
+def test_passages_of_over_fifty_words(spark, docs, rows, tmp_path):
+    """Passages below the contract's 400 bytes go in columns of their own; the contract's columns stay as they were."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("w%d" % rng.randrange(400) for _ in range(n))
+    passage = words(56)
+    assert suffix_dedup.PASSAGE < len(passage) < suffix_dedup.LENGTH
+    more = [(900 + i, words(30) + " " + passage + " " + words(30)) for i in range(3)]
+    whole = [(r[0], r[1]) for r in rows] + more
+    docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()
+    texts = [(t or "").encode() for _, t in whole]
+    cut = lambda k: [(n, h) for _, n, _, h in expected_removal(texts, k)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = Counter((r["doc_id"], r["n_removed"], r["kept_sha256"], r["n_passage_bytes"]) for r in out)
+    assert got == Counter((i, n, h, m) for (i, _), (n, h), (m, _) in zip(whole, cut(400), cut(240), strict=True))
+    ascii_ = {i for i, t in whole if (t or "").isascii()}
+    short = Counter((i, h) for (i, _), (_, h) in zip(whole, cut(240), strict=True) if i in ascii_)
+    assert Counter((r["doc_id"], sha(r["passage_text"])) for r in out if r["doc_id"] in ascii_) == short
+    for r in out:
+        if r["doc_id"] is not None and r["doc_id"] >= 900:
+            assert passage in r["text"] and passage not in r["passage_text"] and r["n_removed"] == 0
+
+
+@pytest.mark.parametrize("most", [1500, 1])
+def test_longer_strings_within_shorter_ones(spark, most):
+    """Few symbols, so that repeated strings of all lengths overlap and touch; one text in three rows."""
+    rng = random.Random(most)
+    rows = [(i, "".join(rng.choice("ab") * rng.randrange(1, 4) for _ in range(rng.randrange(200)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][i : 40 + i] + rows[i + 1][1]) for i in range(20)] + [rows[0]] * 2
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    shorter = suffix_dedup.spans(made, length=16, gram=5, most=most)
+    found = suffix_dedup.spans(made, length=24, gram=8, most=most, within=(16, shorter))
+    marks = {}
+    for r in found.collect():
+        marks.setdefault(r["id"], set()).update(range(r["from"], r["to"]))
+    for (i, text), (_, n, _, _) in zip(rows, expected_removal([t.encode() for _, t in rows], 24), strict=True):
+        assert len(marks.get(i, ())) == n, (i, text)
+
+
 def test_deduplicated_text_is_whole_characters(docs, rows):
     out = suffix_dedup.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
