@@ -34,7 +34,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 128
-PASSAGE = 240  # most passages of more than 50 words have as many bytes, and few have 400
+PASSAGE = 240  # passages of more than 50 words rarely have fewer bytes, and often fewer than 400
 CHUNK = 1 << 18
 SEGMENT = 1 << 22
 BLOCK = 1 << 20
