@@ -28,6 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_pairs import BytePairs
 from .common import chunks, discard, release, table, written
 
 SIZE = 4096
@@ -45,8 +46,10 @@ class Encoder:
     """Token ids of texts, those of each lower-case word kept in arrays: `words`, and by `at` their part of `ids`.
 
     The vocabulary's normaliser composes (NFC), collapses white space and lowers case by characters, and no token
-    goes over white space; so a text is encoded word by word. The few texts where that would differ are encoded
-    whole: those with the strings of special tokens or with U+001C to U+001F, which are space to some and not to others.
+    goes over white space; so a text is encoded word by word, on arrays where the vocabulary has the form for it. The
+    few texts where that would differ are encoded whole: those with the strings of special tokens, as they are or in
+    lower case, those that are not composed any more in lower case (U+0130 before some marks), and those with U+001C to
+    U+001F, which are space to some and not to others.
     """
 
     def __init__(self, path: str):
@@ -54,6 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.pairs = BytePairs.of(path)
         self.special = {t.content: n for n, t in self.whole.get_added_tokens_decoder().items()}
         self.forget()
 
@@ -61,8 +65,9 @@ class Encoder:
         self.words, self.ids, self.at = pa.array([""], pa.large_string()), np.zeros(0, "<u4"), np.zeros(2, np.int64)
 
     def learn(self, words: pa.Array) -> None:
-        """Encodes words, a hundred at a time with a special token between them, which no word has in it."""
-        texts, ids, sizes = words.to_pylist(), [self.ids], []
+        """Encodes words, those that arrays can't a hundred at a time with a special token between them, which no word has."""
+        done, own, counts = self.pairs.encode(words) if self.pairs else (np.zeros(len(words), bool), self.ids[:0], np.zeros(0, np.int64))
+        texts, ids, sizes = words.filter(pa.array(~done)).to_pylist(), [self.ids[:0]], [np.zeros(0, np.int64)]
         if not self.special:
             codes = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             ids += codes
@@ -74,15 +79,22 @@ class Encoder:
                 sign = got == number
                 ids.append(got[~sign])
                 sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], sign, [True]]))) - 1)
+        length = np.empty(len(words), np.int64)
+        length[done], length[~done] = counts, np.concatenate(sizes)
+        mine = np.repeat(done, length)
+        new = np.empty(len(mine), "<u4")
+        new[mine], new[~mine] = own, np.concatenate(ids)
         self.words = pa.concat_arrays([self.words, words])
-        self.ids = np.concatenate(ids)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+        self.ids = np.concatenate([self.ids, new])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(length)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the n + 1 offsets of the texts in them."""
         odd_signs = (*self.special, *_SEPARATORS)
-        odd = {k: t for k, t in enumerate(texts) if any(s in t for s in odd_signs)}
-        plain = ["" if k in odd else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for k, t in enumerate(texts)]
+        plain = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
+        odd = {k: t for k, (t, p) in enumerate(zip(texts, plain, strict=True)) if any(s in t for s in odd_signs) or any(s in p for s in self.special) or not unicodedata.is_normalized("NFC", p)}
+        for k in odd:
+            plain[k] = ""
         split = pa.compute.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         each = split.flatten().dictionary_encode()
         if len(self.words) > CACHE:
